@@ -78,17 +78,17 @@ def unpack(rows: pa.Table):
     return ids, known, data, np.concatenate(([0], np.cumsum(sizes)))
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    """An array for the shuffle; sorted integers are stored as differences."""
-    step = np.diff(x, prepend=x[:1] * 0) if len(x) else x
+def squeeze(x: np.ndarray, rising: bool = False) -> bytes:
+    """An array for the shuffle, its bytes by their place; sorted integers as differences."""
+    step = np.diff(x, prepend=x[:1] * 0) if rising and len(x) else np.ascontiguousarray(x)
     return zstandard.ZstdCompressor(level=1).compress(step.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
-def expand(raw: bytes, kind) -> np.ndarray:
+def expand(raw: bytes, kind, rising: bool = False) -> np.ndarray:
     kind = np.dtype(kind)
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
     step = np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).ravel()
-    return np.cumsum(step, dtype=kind)
+    return np.cumsum(step, dtype=kind) if rising else step
 
 
 def least_by_key(keys: np.ndarray, docs: np.ndarray):

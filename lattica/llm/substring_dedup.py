@@ -6,9 +6,9 @@ the neighbours alone, so equal substrings get the same symbols except near their
 A name is a 64-bit fingerprint of what it stands for, which makes it the same name in every
 task without a naming shuffle. Each symbol also carries the span of tokens that decides it.
 
-Every window of `window` words holds symbols decided inside it; the smallest is its anchor
-(a window without one, as inside a long run, is its own anchor). Steps over blocks of
-documents:
+Every window of `window` words holds symbols decided inside it; of its strings of GRAM symbols
+the one with the smallest name is its anchor (a window without one, as inside a long run, is
+its own anchor). Steps over blocks of documents:
 
 1. each block sends its distinct anchors with their smallest and largest document; an
    anchor seen in two documents goes back to the blocks that hold it;
@@ -39,6 +39,8 @@ from . import textops as T
 
 U64 = np.uint64
 WINDOW = 13
+#: Symbols in an anchor. One symbol alone may be a common word; three stand for four or five.
+GRAM = 3
 
 
 def rounds_for(window: int) -> int:
@@ -98,6 +100,7 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int):
     if not len(starts):
         return starts, doc, np.zeros(0, U64)
     names, lo, hi = recompress(h, np.repeat(np.arange(len(first) - 1), np.diff(first)), rounds_for(window))
+    names, lo, hi = T.window_hash(names, GRAM), lo[: max(0, len(lo) - GRAM + 1)], hi[GRAM - 1 :]
     a = np.searchsorted(lo, starts)
     b = np.searchsorted(hi, starts + window - 1, "right")
     count = b - a
@@ -120,7 +123,7 @@ def _send(keys, low, high, block, buckets, check=None):
     part = (keys >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
     cuts = np.searchsorted(part, np.arange(buckets + 1))
     rows = [(p, *cuts[p : p + 2]) for p in np.unique(part)]
-    cols = [[int(p) for p, _, _ in rows], [block] * len(rows), *([B.squeeze(x[i:j]) for _, i, j in rows] for x in (keys, low, high))]
+    cols = [[int(p) for p, _, _ in rows], [block] * len(rows), [B.squeeze(keys[i:j], True) for _, i, j in rows], *([B.squeeze(x[i:j]) for _, i, j in rows] for x in (low, high - low))]
     cols.append([B.squeeze(check[i:j]) if check is not None else b"" for _, i, j in rows])
     return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "source", "keys", "low", "high", "check_bits"])
 
@@ -131,7 +134,7 @@ _BACK = "block int, keys binary, low binary, copies binary"
 
 def _answer(rows: pa.Table) -> pa.Table:
     """Keys of a range that lie in two documents, to each block that holds them."""
-    parts = [(b, B.expand(k, U64), B.expand(lo, np.int64), B.expand(hi, np.int64), B.expand(c, np.uint32) if c else None) for b, k, lo, hi, c in zip(*(rows[x].to_pylist() for x in ("source", "keys", "low", "high", "check_bits")))]
+    parts = [(b, B.expand(k, U64, True), low := B.expand(lo, np.int64), low + B.expand(more, np.int64), B.expand(c, np.uint32) if c else None) for b, k, lo, more, c in zip(*(rows[x].to_pylist() for x in ("source", "keys", "low", "high", "check_bits")))]
     keys = np.concatenate([p[1] for p in parts])
     low, high = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
     owner = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
@@ -151,13 +154,13 @@ def _answer(rows: pa.Table) -> pa.Table:
     by = np.argsort(owner, kind="stable")
     keys, least, owner = keys[by], least[by], owner[by]
     cuts = np.searchsorted(owner, np.arange(len(parts) + 1))
-    out = [(parts[i][0], B.squeeze(keys[cuts[i] : cuts[i + 1]]), B.squeeze(least[cuts[i] : cuts[i + 1]])) for i in range(len(parts)) if cuts[i] < cuts[i + 1]]
+    out = [(parts[i][0], B.squeeze(keys[cuts[i] : cuts[i + 1]], True), B.squeeze(least[cuts[i] : cuts[i + 1]])) for i in range(len(parts)) if cuts[i] < cuts[i + 1]]
     return B.batch(["block", "keys", "low", "copies"], [*(list(x) for x in (zip(*out) if out else ((), (), ()))), [b""] * len(out)], [pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
 
 def _learned(rows: pa.Table):
     """Answers to a block: keys in order with their smallest document, and its copies."""
-    keys = [B.expand(x, U64) for x in rows["keys"].to_pylist() if x]
+    keys = [B.expand(x, U64, True) for x in rows["keys"].to_pylist() if x]
     low = [B.expand(x, np.int64) for x in rows["low"].to_pylist() if x]
     copies = [np.frombuffer(x, np.int64) for x in rows["copies"].to_pylist() if x]
     keys = np.concatenate(keys) if keys else np.zeros(0, U64)
