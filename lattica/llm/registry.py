@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .substring_dedup import ORACLE as ORACLE_4
 from .substring_dedup import op4_substring_dedup
+from .token_counts import op1_token_counts
 
-QUERIES = {q.__name__: q for q in (op4_substring_dedup,)}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op4_substring_dedup)}
 ORACLE = {"op4_substring_dedup": ORACLE_4}
