@@ -10,6 +10,7 @@ Spark reuses the one exchange for all steps that read it.
 from __future__ import annotations
 
 import math
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,14 @@ def count_for(df: DataFrame, unit: int = BLOCK_BYTES, least: int = 16, most: int
     return 1 << max(0, math.ceil(math.log2(min(most, max(least, size / unit)))))
 
 
+def checkpoints(spark) -> None:
+    """The cluster names a shared folder in spark.checkpoint.dir; only where it doesn't, as in
+    tests, a folder of this machine serves."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-checkpoint-"))
+
+
 def pack(docs: DataFrame, count: int) -> DataFrame:
     """Rows of doc_id and text as blocks. A null id becomes the largest number, known = 0."""
 

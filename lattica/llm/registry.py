@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .decontamination import ORACLE as ORACLE_8
+from .decontamination import op8_decontamination
+from .packing import op3_packing
 from .substring_dedup import ORACLE as ORACLE_4
 from .substring_dedup import op4_substring_dedup
 from .token_counts import op1_token_counts
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op4_substring_dedup)}
-ORACLE = {"op4_substring_dedup": ORACLE_4}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op3_packing, op4_substring_dedup, op8_decontamination)}
+ORACLE = {"op4_substring_dedup": ORACLE_4, "op8_decontamination": ORACLE_8}
