@@ -6,9 +6,10 @@ from .decontamination import ORACLE as ORACLE_8
 from .decontamination import op8_decontamination
 from .nearest import op10_nearest
 from .packing import op3_packing
+from .quality import op6_quality
 from .substring_dedup import ORACLE as ORACLE_4
 from .substring_dedup import op4_substring_dedup
 from .token_counts import op1_token_counts
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op3_packing, op4_substring_dedup, op8_decontamination, op10_nearest)}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op3_packing, op4_substring_dedup, op6_quality, op8_decontamination, op10_nearest)}
 ORACLE = {"op4_substring_dedup": ORACLE_4, "op8_decontamination": ORACLE_8}
