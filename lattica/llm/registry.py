@@ -10,6 +10,7 @@ from .quality import op6_quality
 from .substring_dedup import ORACLE as ORACLE_4
 from .substring_dedup import op4_substring_dedup
 from .token_counts import op1_token_counts
+from .toxicity import op9_toxicity
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op3_packing, op4_substring_dedup, op6_quality, op8_decontamination, op10_nearest)}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op3_packing, op4_substring_dedup, op6_quality, op8_decontamination, op9_toxicity, op10_nearest)}
 ORACLE = {"op4_substring_dedup": ORACLE_4, "op8_decontamination": ORACLE_8}
