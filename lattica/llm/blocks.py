@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from . import textops as T
 #: Input (file) bytes for one block, and text gathered in a task before it is compressed.
 BLOCK_BYTES = 4_000_000
 PACK_BYTES = 24_000_000
-SCHEMA = "block int, ids binary, known binary, sizes binary, body binary"
+SCHEMA = "block int, ids binary, known binary, sizes binary, body binary, extra binary"
 MOST = np.iinfo(np.int64).max
 
 
@@ -41,8 +42,19 @@ def checkpoints(spark) -> None:
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-checkpoint-"))
 
 
-def pack(docs: DataFrame, count: int) -> DataFrame:
-    """Rows of doc_id and text as blocks. A null id becomes the largest number, known = 0."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written as Parquet to the shared folder and read again."""
+    spark = df.sparkSession
+    checkpoints(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def pack(docs: DataFrame, count: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of doc_id and text as blocks, with further columns for `extras`. A null id becomes the
+    largest number, known = 0."""
 
     def run(batches):
         held: list = []
@@ -68,17 +80,24 @@ def pack(docs: DataFrame, count: int) -> DataFrame:
                 continue
             data, off = T.text_buffers(table["text"].slice(lo, hi - lo))
             body = zstandard.ZstdCompressor(level=3).compress(data.tobytes())
-            row = [int(block[lo])], [ids[lo:hi].tobytes()], [known[lo:hi].tobytes()], [np.diff(off).tobytes()], [body]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["block", "ids", "known", "sizes", "body"])
+            more = b""
+            if extra:
+                with pa.BufferOutputStream() as sink:
+                    part = pa.table([table[3 + i].slice(lo, hi - lo).combine_chunks() for i in range(len(extra))], names=[f"c{i}" for i in range(len(extra))])
+                    with pa.ipc.new_stream(sink, part.schema) as writer:
+                        writer.write_table(part)
+                    more = zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+            row = [int(block[lo])], [ids[lo:hi].tobytes()], [known[lo:hi].tobytes()], [np.diff(off).tobytes()], [body], [more]
+            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["block", "ids", "known", "sizes", "body", "extra"])
 
     T.small_batches(docs.sparkSession)
     id_col = F.col("doc_id").cast("long")
-    named = docs.select(F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int").alias("block"), id_col.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = docs.select(F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int").alias("block"), id_col.alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"extra_{i}") for i, c in enumerate(extra)))
     return named.mapInArrow(run, SCHEMA)
 
 
 def unpack(rows: pa.Table):
-    """(ids, known, data, offsets) of a block, in order of id so that results repeat."""
+    """(ids, known, data, offsets) of a block."""
     ids = np.frombuffer(b"".join(rows["ids"].to_pylist()), np.int64)
     known = np.frombuffer(b"".join(rows["known"].to_pylist()), np.uint8).astype(bool)
     sizes = np.frombuffer(b"".join(rows["sizes"].to_pylist()), np.int64)
@@ -87,6 +106,12 @@ def unpack(rows: pa.Table):
     return ids, known, data, np.concatenate(([0], np.cumsum(sizes)))
 
 
+def extras(rows: pa.Table) -> pa.Table:
+    """The further columns of a block, row by row as `unpack` has them."""
+    plain = zstandard.ZstdDecompressor()
+    return pa.concat_tables([pa.ipc.open_stream(plain.decompress(x)).read_all() for x in rows["extra"].to_pylist()])
+
+
 def squeeze(x: np.ndarray, rising: bool = False) -> bytes:
     """An array for the shuffle, its bytes by their place; sorted integers as differences."""
     step = np.diff(x, prepend=x[:1] * 0) if rising and len(x) else np.ascontiguousarray(x)

@@ -32,6 +32,8 @@ WINDOW = 13
 #: Benchmark words in one search: about 20 MB of tables at most.
 PART_WORDS = 400_000
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
 
 class Search:
@@ -144,13 +146,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
         for batch in batches:
             rows = []
             _scan(batch, searches, lambda i, n, hit, items: rows.append(_verdict(n, int(hit.sum()), items)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             columns = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, _KINDS))], names=["doc_id", *_NAMES])
 
     if len(shared) == 1:
         return docs.mapInArrow(once, SCHEMA)
 
+    keyed = docs.withColumn("row", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    found = _united(keyed, shared, window)
+    copies = keyed.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
+    found = found.join(copies, found["doc_id"].eqNullSafe(copies["doc_id"]) & (found["row"] == copies["row"])).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return found.select(found["doc_id"], "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _united(keyed: DataFrame, shared: list, window: int) -> DataFrame:
+    """Verdicts over several parts, for each distinct (doc_id, row): rows are told apart by id and
+    digest."""
+
     def part_pass(part):
         def run(batches):
             searches = _patterns(shared[part].value, window)
@@ -165,26 +177,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     def unite(batches):
         for batch in batches:
             rows = []
-            for n, bits, items in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            for n, bits, items in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
                 hit = np.zeros(n, np.uint8)
                 for b in bits:
                     if b:
                         hit |= np.unpackbits(np.frombuffer(b, np.uint8), count=n)
                 rows.append(_verdict(n, int(hit.sum()), {x for y in items for x in y}))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             columns = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, _KINDS))], names=["doc_id", "row", *_NAMES])
 
-    # Rows are told apart by id and digest; equal ones among those are counted and repeated.
-    keyed = docs.withColumn("row", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    copies = keyed.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
     passes = [keyed.mapInArrow(part_pass(i), "doc_id long, row string, n_words long, bits binary, items array<long>").dropDuplicates(["doc_id", "row"]) for i in range(len(shared))]
     found = passes[0]
     for p in passes[1:]:
         found = found.unionByName(p)
     found = found.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.collect_list("bits").alias("bits"), F.collect_list("items").alias("items"))
-    found = found.join(copies, (found["doc_id"].eqNullSafe(copies["doc_id"])) & (found["row"] == copies["row"])).select(found["doc_id"], "n_words", "bits", "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return found.mapInArrow(unite, SCHEMA)
+    return found.mapInArrow(unite, "doc_id long, row string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """The rows of docs that aren't contaminated; in one pass if the benchmark is one part."""
+    spark = docs.sparkSession
+    T.small_batches(spark)
+    shared = [spark.sparkContext.broadcast(items) for items in parts_of(benchmark, part_words)]
+    if len(shared) > 1:
+        row = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+        keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
+        bad = _united(keyed, shared, window).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row"))
+        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (row == F.col("bad_row")), "left_anti")
+    at = docs.columns.index("text")
+
+    def run(batches):
+        searches = _patterns(shared[0].value, window)
+        for batch in batches:
+            keep: list[bool] = []
+            texts = pa.record_batch([batch.column(at), batch.column(at)], names=["doc_id", "text"])
+            _scan(texts, searches, lambda i, n, hit, items: keep.append(not _verdict(n, int(hit.sum()), ())[4]))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

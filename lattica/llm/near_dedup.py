@@ -31,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -243,5 +243,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return known.union(bare)
 
 
+def without_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that represent their class; of rows that repeat id and text, one."""
+    gone = classes(docs, least).where("class_id != doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
+    known = kept.where("doc_id is not null").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    return known.union(docs.where("doc_id is null").select(*docs.columns))
+
+
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
     return classes(T.table(spark, sf_dir, "documents"))

@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,12 +184,12 @@ def _pieces(ids, data, offsets, seeds=1):
         yield lo, hi, base, own, starts, ends, first, h
 
 
-def removed_words(docs: DataFrame, window: int = WINDOW, finish=None, schema: str | None = None) -> DataFrame:
-    """Applies `finish(ids, known, pieces)` to each block, where a piece is (row range, bytes,
+def removed_words(docs: DataFrame, window: int, finish, schema, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Applies `finish(rows, ids, known, pieces)` to each block of rows, where a piece is (row range, bytes,
     offsets, word starts, word ends, first word of each row, removed mask)."""
     count = B.count_for(docs)
     buckets = count
-    packed = B.pack(docs, count)
+    packed = B.pack(docs, count, extra)
     digest = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
     firsts = digest.groupBy("digest").agg(F.min("doc_id").alias("source_id"), F.count("doc_id").alias("n")).where("n > 1")
     copies = digest.join(firsts, "digest").where("doc_id > source_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("block"), "doc_id")
@@ -250,7 +251,7 @@ def removed_words(docs: DataFrame, window: int = WINDOW, finish=None, schema: st
                 again |= np.isin(ids[lo:hi], own_copies)[doc]
                 yield lo, hi, base, own, starts, ends, first, T.covered(at[again], window, len(starts))
 
-        return finish(ids, known, pieces())
+        return finish(rows, ids, known, pieces())
 
     answers = verdicts.unionByName(copied).groupBy("block")
     return packed.groupBy("block").cogroup(answers).applyInArrow(step3, schema)
@@ -286,7 +287,7 @@ def _joined(base, starts, ends, keep) -> bytes:
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256."""
 
-    def finish(ids, known, pieces):
+    def finish(_, ids, known, pieces):
         n_words, n_removed, sha = [], [], []
         for lo, hi, base, _, starts, ends, first, gone in pieces:
             for i in range(hi - lo):
@@ -300,27 +301,37 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and the text left after removal; a text that loses nothing stays as it is, from
-    others the removed words go with the white space before them. `lost` counts the words."""
-
-    def finish(ids, known, pieces):
-        texts, lost = [], []
+    """The rows of docs without their repeated words. A text that loses nothing stays as it is; from
+    others the removed words go with the white space before them, n_chars follows if there is such
+    a column, and a row that loses all its words goes."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    schema = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others).schema
+
+    def finish(rows, ids, known, pieces):
+        texts, empty, sizes, lost = [], [], [], []
         for lo, hi, base, own, starts, ends, first, gone in pieces:
             for i in range(hi - lo):
                 a, b = first[i], first[i + 1]
                 g = np.flatnonzero(gone[a:b])
-                lost.append(len(g))
                 raw = base[own[i] : own[i + 1]]
                 if len(g):
                     s, e = starts[a:b] - own[i], ends[a:b] - own[i]
                     before = np.concatenate(([0], e[:-1]))
-                    keep = np.ones(len(raw) + 1, np.int64)
                     mark = np.bincount(before[g], minlength=len(raw) + 1) - np.bincount(e[g], minlength=len(raw) + 1)
-                    raw = raw[(np.cumsum(mark)[: len(raw)] <= 0) & (keep[: len(raw)] > 0)]
-                texts.append(raw.tobytes().decode("utf-8", "replace"))
-        return B.batch(["doc_id", "kept_text", "lost"], [pa.array(ids, mask=~known), texts, lost], [pa.int64(), pa.string(), pa.int64()])
-
-    return removed_words(docs, window, finish, "doc_id long, kept_text string, lost long")
+                    raw = raw[np.cumsum(mark)[: len(raw)] == 0]
+                text = raw.tobytes().decode("utf-8", "replace")
+                texts.append(text), sizes.append(len(text)), lost.append(len(g) > 0), empty.append(len(g) > 0 and len(g) == b - a)
+        lost, keep = np.array(lost, bool), ~np.array(empty, bool)
+        columns = {"doc_id": pa.array(ids, pa.int64(), mask=~known), "text": pa.array(texts, pa.string())}
+        more = B.extras(rows) if others else None
+        for i, c in enumerate(others):
+            column = more[f"c{i}"].combine_chunks()
+            if c == "n_chars":
+                column = pa.compute.if_else(pa.array(lost), pa.array(sizes, pa.int64()).cast(column.type), column)
+            columns[c] = column
+        return pa.table(columns).filter(pa.array(keep))
+
+    return removed_words(docs, window, finish, schema, others).select(*docs.columns)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -168,6 +168,24 @@ def severities(docs: DataFrame, model: Ordinal, threshold: float = THRESHOLD) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def without_toxic(docs: DataFrame, model: Ordinal, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that aren't toxic, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.edges))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        own = Ordinal(1)
+        own.weight, own.edges = shared.value
+        for batch in batches:
+            p = [own.above(row, column, b - a) for a, b, row, column in _each(batch.column(at))]
+            p = np.concatenate(p) if p else np.zeros((0, len(own.edges)))
+            keep = p[:, 0] < threshold if p.shape[1] else np.ones(batch.num_rows, bool)
+            yield batch.filter(pa.array(keep))
+
+    T.small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = T.table(spark, sf_dir, "documents")
     return severities(docs, fit(docs, T.table(spark, sf_dir, "labels")))
