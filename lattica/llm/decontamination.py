@@ -154,9 +154,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
     keyed = docs.withColumn("row", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     found = _united(keyed, shared, window)
-    copies = keyed.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
-    found = found.join(copies, found["doc_id"].eqNullSafe(copies["doc_id"]) & (found["row"] == copies["row"])).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return found.select(found["doc_id"], "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    copies = keyed.groupBy(F.col("doc_id").alias("own_id"), F.col("row").alias("own_row")).agg(F.count(F.lit(1)).alias("copies"))
+    found = found.join(copies, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("row") == F.col("own_row"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def _united(keyed: DataFrame, shared: list, window: int) -> DataFrame:
