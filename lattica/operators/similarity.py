@@ -51,7 +51,11 @@ def minhash_pairs(docs: DataFrame, least: float = 0.7, k: int = 3) -> DataFrame:
     sets = s.groupBy("doc_id").agg(F.sort_array(F.collect_set("shingle")).alias("set"))
     reps = sets.groupBy("set").agg(F.min("doc_id").alias("rep")).select("rep", "set", F.size("set").alias("n"))
     rows = HASHES // BANDS
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[F.array_min(F.transform("set", lambda x, r=r: F.xxhash64(x, b * rows + r))) for r in range(rows)]))
+
+    def least_hash(seed):
+        return F.array_min(F.transform("set", lambda x: F.xxhash64(x, seed)))
+
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[least_hash(b * rows + r) for r in range(rows)]))
     buckets = reps.select("rep", "n", F.explode(band).alias("bucket"))
     other = buckets.toDF("b", "m", "bucket")
     pairs = buckets.select(F.col("rep").alias("a"), "n", "bucket").join(other, "bucket").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))).select("a", "b").distinct()
