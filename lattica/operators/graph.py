@@ -177,3 +177,31 @@ def overlay(calls: DataFrame, cochange: DataFrame, cap: float = 2.0) -> DataFram
     pairs = cochange.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
     both = pairs.union(pairs.select("dst", "src", "weight"))
     return calls.join(both, ["src", "dst"], "left").select("src", "dst", (1.0 + F.least(F.coalesce("weight", F.lit(0.0)), F.lit(cap))).alias("w"))
+
+
+def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, most: int) -> DataFrame:
+    """source, sink, hops, sanitized for each simple path of up to `most` calls. Paths stop at the
+    sink they reach."""
+    checkpoint_folder(edges.sparkSession)
+    ends = sinks.select(F.col("id").alias("at"), F.lit(True).alias("is_sink")).distinct()
+    clean = sanitizers.select(F.col("id").alias("at"), F.lit(True).alias("is_clean")).distinct()
+    paths = sources.select(F.array("id").alias("path"), F.lit(False).alias("sanitized"))
+    found = None
+    for hops in range(1, most + 1):
+        step = paths.withColumn("src", F.element_at("path", -1)).join(edges.select("src", F.col("dst").alias("at")), "src").where(~F.array_contains("path", F.col("at")))
+        step = step.join(ends, "at", "left").join(clean, "at", "left").select(F.concat("path", F.array("at")).alias("path"), (F.col("sanitized") | F.coalesce("is_clean", F.lit(False))).alias("sanitized"), F.coalesce("is_sink", F.lit(False)).alias("is_sink"), "at").checkpoint()
+        hit = step.where("is_sink").select(F.element_at("path", 1).alias("source"), F.col("at").alias("sink"), F.lit(hops).cast("long").alias("hops"), "sanitized")
+        found = hit if found is None else found.union(hit)
+        paths = step.where("not is_sink").select("path", "sanitized")
+    return found
+
+
+def walks(edges: DataFrame, nodes: DataFrame, length: int, per_node: int, seed: int = 0) -> DataFrame:
+    """walk: node names of seeded random walks; a step picks the neighbour of least seeded hash."""
+    near = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    near = near.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("near"))
+    w = nodes.select(F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("n"), F.array("id").alias("walk"))
+    for i in range(length - 1):
+        pick = F.pmod(F.xxhash64("n", "walk", F.lit(seed + i)), F.size("near").cast("long"))
+        w = w.withColumn("src", F.element_at("walk", -1)).join(near, "src").select("n", F.concat("walk", F.array(F.element_at("near", (pick + 1).cast("int")))).alias("walk"))
+    return w.select(F.transform("walk", lambda x: x.cast("string")).alias("walk"))

@@ -37,14 +37,16 @@ def suppressed(lines: DataFrame, marker: str) -> DataFrame:
 def apply(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, line_no, rule, severity of all matches; one pass over the lines."""
     hits, w = [], Window.partitionBy("doc_id").orderBy("line_no")
+    around = {(p, r.window): f"_w{i}" for i, (p, r) in enumerate((p, r) for r in rules for p in (r.near, r.absent) if p)}
+    lines = lines.withColumns({c: F.max(F.col("line").rlike(p)).over(w.rowsBetween(-n, n)) for (p, n), c in around.items()})
     for r in rules:
         test = F.col("line").rlike(r.pattern)
         if r.hint:
             test = F.lower("line").contains(r.hint) & test
         for pattern, wanted in ((r.near, True), (r.absent, False)):
             if pattern:
-                around = F.max(F.col("line").rlike(pattern)).over(w.rowsBetween(-r.window, r.window))
-                test = test & (around if wanted else ~around)
+                found = F.col(around[pattern, r.window])
+                test = test & (found if wanted else ~found)
         hits.append(F.when(test, F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).cast("long").alias("severity"))))
     return lines.select("doc_id", "line_no", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h")).select("doc_id", "line_no", "h.rule", "h.severity")
 

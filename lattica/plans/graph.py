@@ -190,3 +190,56 @@ m AS (SELECT count(*) AS m FROM und), d AS (SELECT g, count(*) AS d FROM (SELECT
 SELECT round(sum(coalesce(e, 0) / m - pow(d / (2.0 * m), 2)), 9) AS modularity FROM d LEFT JOIN e USING (g), m""")
 def modularity(spark, sf_dir):
     return rounded(G.modularity(P.sparse_calls(spark, sf_dir), P.nodes(spark, sf_dir), "module"), "modularity", digits=9)
+
+
+@query(f"{WITH} SELECT a.module AS src_module, b.module AS dst_module, count(*) AS n FROM calls JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE a.module <> b.module GROUP BY ALL")
+def module_edges(spark, sf_dir):
+    n = P.nodes(spark, sf_dir).select("id", "module")
+    j = P.calls(spark, sf_dir).join(n.toDF("src", "src_module"), "src").join(n.toDF("dst", "dst_module"), "dst")
+    return j.where("src_module != dst_module").groupBy("src_module", "dst_module").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{WITH}, {DEGREE} SELECT id, loc FROM nodes JOIN degree USING (id) WHERE fan_in <= 10 AND NOT exported AND id NOT IN (SELECT src FROM sparse)")
+def dead_code_candidates(spark, sf_dir):
+    n, e = P.nodes(spark, sf_dir), P.calls(spark, sf_dir)
+    used = P.sparse_calls(spark, sf_dir).select(F.col("src").alias("id")).distinct()
+    return n.join(G.fan_in_out(n, e).where("fan_in <= 10"), "id").where("not exported").join(used, "id", "left_anti").select("id", "loc")
+
+
+@query(f"""{WITH}, t AS (SELECT [id] AS path, id AS v, FALSE AS sanitized, FALSE AS sink FROM nodes WHERE id % 41 = 0
+UNION ALL SELECT list_append(path, dst), dst, sanitized OR dst % 5 = 0, dst % 37 = 0 FROM t JOIN sparse ON src = t.v WHERE NOT sink AND len(path) <= 6 AND NOT list_contains(path, dst))
+SELECT path[1] AS source, v AS sink, (len(path) - 1)::BIGINT AS hops, sanitized FROM t WHERE sink AND len(path) > 1""")
+def taint_paths(spark, sf_dir):
+    n = P.nodes(spark, sf_dir)
+    return G.taint_paths(P.sparse_calls(spark, sf_dir), n.where("id % 41 = 0"), n.where("id % 37 = 0"), n.where("id % 5 = 0"), 6)
+
+
+@query()
+def weighted_betweenness(spark, sf_dir):
+    n = P.nodes(spark, sf_dir)
+    e = P.sparse_calls(spark, sf_dir).join(n.select(F.col("id").alias("dst"), (1.0 + F.col("complexity") % 5).alias("w")), "dst")
+    total = n.count()
+    return rounded(K.weighted_betweenness(e, n.select("id").orderBy(F.xxhash64("id"), "id").limit(200), total), "betweenness")
+
+
+@query()
+def community_misplacement(spark, sf_dir):
+    """Nodes whose community isn't that of most nodes of their file."""
+    c = spark.createDataFrame(sorted(K.communities(K.edge_list(P.sparse_calls(spark, sf_dir))).items()), "id long, community long")
+    n = P.nodes(spark, sf_dir).select("id", "file_path").join(c, "id")
+    most = n.groupBy("file_path", "community").agg(F.count(F.lit(1)).alias("n")).groupBy("file_path").agg(F.max(F.struct("n", (-F.col("community")).alias("neg"))).alias("m"))
+    return n.join(most, "file_path").where("community != -m.neg and m.n > 1").select("id", "file_path", "community")
+
+
+@query()
+def node2vec(spark, sf_dir):
+    """Skip-gram vectors of nodes over seeded walks of the sparse graph."""
+    from pyspark.ml.feature import Word2Vec
+
+    e = P.sparse_calls(spark, sf_dir)
+    ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    w = G.walks(e, ids, 8, 2)
+    model = Word2Vec(vectorSize=16, windowSize=5, minCount=1, maxIter=1, seed=1, inputCol="walk", outputCol="v").fit(w)
+    from pyspark.ml.functions import vector_to_array
+
+    return model.getVectors().select(F.col("word").cast("long").alias("id"), vector_to_array("vector").alias("embedding"))

@@ -162,3 +162,56 @@ def health_score(spark, sf_dir):
 @query(f"""{WITH} SELECT id FROM findings WHERE NOT (detector = 'view' AND EXISTS (SELECT 1 FROM findings w WHERE w.detector = 'click' AND w.file = findings.file AND w.line = findings.line))""")
 def dead_code_overlap(spark, sf_dir):
     return O.without_overlap(P.findings(spark, sf_dir), "view", "click").select("id")
+
+
+@query("SELECT lang, count(*) AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines, max(n_chars) AS longest FROM documents GROUP BY lang")
+def language_stats(spark, sf_dir):
+    d = P.table(spark, sf_dir, "documents")
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size(F.split("text", "\n"))).cast("long").alias("lines"), F.max("n_chars").alias("longest"))
+
+
+@query(f"""{WITH}, b AS (SELECT DISTINCT detector, file, title FROM findings WHERE half = 'base'), h AS (SELECT detector, file, title FROM findings WHERE half = 'head')
+SELECT CASE WHEN b.file IS NULL THEN 'new' ELSE 'baselined' END AS status, count(*) AS n FROM h LEFT JOIN b USING (detector, file, title) GROUP BY 1
+UNION ALL SELECT 'fixed', count(*) FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.detector = b.detector AND h.file = b.file AND h.title = b.title)""")
+def baseline_status(spark, sf_dir):
+    f = P.findings(spark, sf_dir)
+    return O.baseline_split(f.where("half = 'head'"), f.where("half = 'base'"), ["detector", "file", "title"]).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{WITH} SELECT file, count(*) AS n, count(DISTINCT detector) AS detectors, arg_max(detector, (severity, -id)) AS root FROM findings GROUP BY file")
+def root_causes(spark, sf_dir):
+    f = P.findings(spark, sf_dir)
+    return f.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("detector").alias("detectors"), F.max_by("detector", F.struct("severity", (-F.col("id")).alias("k"))).alias("root"))
+
+
+@query(f"{WITH}, p AS (SELECT detector, sum(CASE severity WHEN 4 THEN 5.0 WHEN 3 THEN 2.0 WHEN 2 THEN 0.5 WHEN 1 THEN 0.1 ELSE 0 END)::DOUBLE AS penalty FROM findings GROUP BY detector) SELECT detector, round(penalty, 6) AS penalty, round(penalty / sum(penalty) OVER (), 6) AS share FROM p")
+def fix_impact(spark, sf_dir):
+    """What removing each detector's findings would win back."""
+    penalty = F.element_at(F.array(*map(F.lit, O.PENALTY)), (F.col("severity") + 1).cast("int"))
+    p = P.findings(spark, sf_dir).groupBy("detector").agg(F.sum(penalty).alias("penalty"))
+    total = p.agg(F.sum("penalty").alias("total"))  # one row
+    return rounded(p.crossJoin(F.broadcast(total)).select("detector", "penalty", (F.col("penalty") / F.col("total")).alias("share")), "penalty", "share")
+
+
+@query("""WITH d AS (SELECT ts::DATE AS day, avg(value) AS score FROM events GROUP BY 1) SELECT day::VARCHAR AS day, round(score, 5) AS score, round(score - lag(score) OVER (ORDER BY day), 5) AS change FROM d""")
+def score_trend(spark, sf_dir):
+    from pyspark.sql import Window
+
+    d = P.table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("score"))  # a row a day
+    d = d.withColumn("change", F.col("score") - F.lag("score").over(Window.orderBy("day")))
+    return rounded(d.select(F.col("day").cast("string").alias("day"), "score", "change"), "score", "change", digits=5)
+
+
+@query(f"""{WITH} SELECT toxic AS label, count(*) AS n, sum((severity >= 2)::INT)::BIGINT AS severe FROM findings JOIN labels ON id = doc_id GROUP BY toxic""")
+def training_stats(spark, sf_dir):
+    f = P.findings(spark, sf_dir).join(P.table(spark, sf_dir, "labels"), F.col("id") == F.col("doc_id"))
+    return f.groupBy(F.col("toxic").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("severity") >= 2).cast("long")).alias("severe"))
+
+
+@query(f"{WITH} SELECT CASE WHEN c = 0 THEN 'cached' WHEN c * 10 <= n THEN 'delta' ELSE 'cold' END AS mode, c AS changed, n AS total FROM (SELECT count(*) FILTER (WHERE doc_id % 13 = 0) AS c, count(*) AS n FROM documents)")
+def incremental_mode(spark, sf_dir):
+    """Which of the three modes a re-run takes, by the share of files whose content changed."""
+    d = P.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.xxhash64("text").alias("hash"))
+    new = d.withColumn("hash", F.when(F.col("path").cast("long") % 13 == 0, F.col("hash") + F.when(F.col("hash") > 0, -1).otherwise(1)).otherwise(F.col("hash")))
+    c = O.file_changes(d, new).agg(F.sum((F.col("change") != "unchanged").cast("long")).alias("changed"), F.count(F.lit(1)).alias("total"))
+    return c.select(F.when(F.col("changed") == 0, "cached").when(F.col("changed") * 10 <= F.col("total"), "delta").otherwise("cold").alias("mode"), "changed", "total")

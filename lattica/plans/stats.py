@@ -144,3 +144,38 @@ def suppressed_lines(spark, sf_dir):
 SELECT doc_id, min(line_no) AS first, max(line_no) AS last, count(*) AS n FROM m GROUP BY doc_id, g HAVING count(*) >= 5""")
 def text_gaps_islands(spark, sf_dir):
     return R.runs(P.lines(spark, sf_dir), F.col("line").rlike(r"\.$")).select("doc_id", "first", "last", "n")
+
+
+@query(f"""WITH {P.LINES}, d AS (SELECT doc_id, sum(len(replace(line, '.', '')) - len(replace(line, ',', ''))) OVER (PARTITION BY doc_id ORDER BY line_no) AS depth FROM lines)
+SELECT doc_id, max(depth)::BIGINT AS deepest FROM d GROUP BY doc_id HAVING max(depth) <> 0""")
+def bracket_depth(spark, sf_dir):
+    return R.depth(P.lines(spark, sf_dir), ",", ".").groupBy("doc_id").agg(F.max("depth").alias("deepest")).where("deepest != 0")
+
+
+@query(f"""WITH {P.LINES}, w AS (SELECT *, max(contains(line, '@')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines)
+SELECT doc_id, line_no FROM w WHERE near AND contains(line, 'token')""")
+def nearby_lines(spark, sf_dir):
+    rule = R.Rule("near", "token", near="@", window=2)
+    return R.apply(P.lines(spark, sf_dir), [rule]).select("doc_id", "line_no")
+
+
+@query()
+def context_states(spark, sf_dir):
+    """Decoded states of each user's events, a hidden Markov model fitted on severity bands."""
+    from ..operators import sequence
+
+    e = P.table(spark, sf_dir, "events").select("user_id", "event_id", F.log1p("value").alias("x"), (F.col("event_type") == "error").cast("double").alias("y"), F.when(F.col("value") >= 100, 2).when(F.col("value") >= 30, 1).otherwise(0).alias("state0"))
+    return sequence.decode(e, sequence.fit(e, "state0", ["x", "y"], 3), "user_id", ["event_id"], ["x", "y"])
+
+
+@query()
+def project_bus_factor(spark, sf_dir):
+    """Authors in the order of a greedy cover of half the brands' ownership."""
+    from ..operators import kernels as K
+    from ..operators import temporal as T
+
+    owned = T.ownership(P.commit_files(spark, sf_dir, "brand")).where("norm > 0.9").select("file", F.col("author").cast("string").alias("author"))
+    if owned.limit(K.MOST_EDGES + 1).count() > K.MOST_EDGES:
+        raise K.TooLarge("too many owners for the greedy cover")
+    lost = K.set_cover([(r["file"], r["author"]) for r in owned.collect()])
+    return spark.createDataFrame([(i + 1, a) for i, a in enumerate(lost)], "step int, author string")
