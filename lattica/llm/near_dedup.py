@@ -8,12 +8,13 @@ candidates, and so are sensitive to edits and to moved text alike. Two documents
 of that many edits. Classes are the connected components of links.
 
 * Exact copies (equal word sequences) are one representative: its smallest doc_id.
-* In each bucket of equal sketches, candidates are first aligned with a few centres (smallest
-  under CENTRES hash orders, equal for all buckets), not with each other. In a group of g near
-  copies that is at most CENTRES * g alignments instead of g * g.
-* Members of a bucket that are still in different components are then aligned with each other,
-  after lossless filters (length ratio, and place of the shared sketch inside the band), so no
-  candidate link is lost.
+* Sketches are taken in two rounds. In each bucket of equal sketches one member of each component
+  so far is aligned with the bucket's centre (the smallest under one hash order for all buckets),
+  not with each other: most of a group of g near copies is one component after the few sketches
+  of the first round, which cost g alignments each at most; the second only sees what is apart.
+* Members of a bucket that are still in different components after all rounds are then aligned
+  with each other in cells of documents, behind lossless filters, so no candidate link is lost
+  (`verify_apart`).
 * Texts travel once as compressed blocks and are handed out to alignments; a centre's partners
   are dealt over tasks of at most SHARE.
 
@@ -36,26 +37,36 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import textops as T
-from .components import components
+from .components import components, tasks_for
 
 U64 = np.uint64
 WORDS, SIMILARITY = 5, 0.8
-SKETCHES, PICK, CENTRES = 48, 4, 3
+SKETCHES, PICK = 48, 4
+#: Sketches that each round takes.
+ROUNDS = (4, SKETCHES)
+#: Documents at home in a cell and visitors in a task of the last step.
+CELL, VISITORS = 1500, 500
+#: Bits that say which words, with their occurrence number, a text has (an edit changes two at most).
+BITS = 4096
 #: Partners that one task aligns with a centre.
 SHARE = 200
 _ODD = np.random.default_rng(11).integers(0, 2**63, SKETCHES).astype(U64) * U64(2) + U64(1)
 
 
+def labelled(x: np.ndarray) -> np.ndarray:
+    """Fingerprints of entries with their occurrence number."""
+    order = np.argsort(x, kind="stable")
+    ranked, at = x[order], np.arange(len(x))
+    head = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    nth = np.empty(len(x), U64)
+    nth[order] = at - np.maximum.accumulate(np.where(head, at, 0))
+    return T.mix(x + nth * U64(0x9E3779B97F4A7C15))
+
+
 def sketches(h: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sketches of a document's word fingerprints, and the place of each one's first k-mer."""
     grams = T.window_hash(h, min(k, len(h)))
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
-    head = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    at = np.arange(len(grams))
-    nth = np.empty(len(grams), np.int64)
-    nth[order] = at - np.maximum.accumulate(np.where(head, at, 0))
-    label = T.mix(grams + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
+    label, at = labelled(grams), np.arange(len(grams))
     pick = min(PICK, len(grams))
     value = _ODD[:, None] * label[None, :]
     value ^= value >> U64(29)
@@ -202,6 +213,91 @@ def verify(pairs: DataFrame, packed: DataFrame, count: int, least: float) -> Dat
     return given.groupBy("a", "share").applyInArrow(align, "a long, b long")
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """node, component: not the whole component yet, but the smallest node within two links, which
+    is enough to spare most alignments of a large group."""
+    both = links.union(links.select("b", "a"))
+    one = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    two = one.select(F.col("node").alias("m"), F.col("m").alias("further"))
+    return one.join(two, "m", "left").select("node", F.least("m", F.coalesce("further", "m")).alias("component")).checkpoint()
+
+
+def _placed(shared: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
+    """mark, component, m: bucket members with their component so far and an order of centres."""
+    if found is None:
+        shared = shared.withColumn("component", F.col("rep"))
+    else:
+        shared = shared.join(found, shared["rep"] == found["node"], "left").withColumn("component", F.coalesce("component", "rep"))
+    return shared.select("mark", "component", F.struct(F.xxhash64("rep", F.lit(turn)).alias("order"), "rep", "n", "place", "component").alias("m"))
+
+
+def verify_apart(rest: DataFrame, apart: DataFrame, many: int, packed: DataFrame, count: int, least: float) -> DataFrame:
+    """Links between members of one bucket in different components, all such pairs.
+
+    Documents have a home cell of about CELL and visit the cells where a bucket of theirs has a
+    member; a cell's visitors are dealt over tasks of about VISITORS. So what moves is a document
+    for each cell, not one for each pair. In a cell, pairs that share a sketch go through lossless
+    filters (length ratio, place of a shared sketch inside the band, bitmaps of labelled words
+    that differ in no more bits than the edits allow) and are then aligned."""
+    cells, salts = max(1, many // CELL), max(1, many // VISITORS)
+    home = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(cells)).cast("int")
+    marks = rest.select("mark", home.alias("cell")).distinct()
+    visits = rest.select("mark", "rep").join(marks, "mark").select("rep", "cell").distinct().withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(salts)).cast("int"))
+    open_cells = visits.select("cell", "salt").distinct()
+    homes = apart.withColumn("cell", home).join(open_cells, "cell").withColumn("home", F.lit(True))
+    guests = apart.join(visits, "rep").withColumn("home", F.lit(False))
+    names = ["cell", "salt", "home", F.col("rep").alias("doc"), "component", "marks", "places"]
+    wanted = homes.select(*names).union(guests.select(*names)).withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(count)).cast("int"))
+    schema = "cell int, salt int, home boolean, doc long, component long, marks array<long>, places array<int>, body binary"
+
+    def hand_out(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        body: list = []
+        if rows.num_rows and asked.num_rows:
+            ids, known, data, offsets = B.unpack(rows)
+            at = {int(d): i for i, d in reversed(list(enumerate(ids))) if known[i]}
+            press, made = zstandard.ZstdCompressor(level=3), {}
+            for doc in asked["doc"].to_pylist():
+                if doc not in made:
+                    i = at[doc]
+                    made[doc] = press.compress(data[offsets[i] : offsets[i + 1]].tobytes())
+                body.append(made[doc])
+        else:
+            asked = asked.slice(0, 0)
+        return asked.select(["cell", "salt", "home", "doc", "component", "marks", "places"]).append_column("body", pa.array(body, pa.binary()))
+
+    given = packed.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(hand_out, schema)
+
+    def align(rows: pa.Table) -> pa.Table:
+        plain, words, bits = zstandard.ZstdDecompressor(), [], []
+        for body in rows["body"].to_pylist():
+            data = np.frombuffer(plain.decompress(body), np.uint8)
+            h = T.words(data, np.array([0, len(data)]), T.SPACED)[3][0]
+            words.append(h.astype(np.uint64))
+            seen, held = labelled(h), np.zeros(BITS // 64, U64)
+            np.bitwise_or.at(held, (seen >> U64(6)).astype(np.int64) % len(held), U64(1) << (seen & U64(63)))
+            bits.append(held)
+        n, doc, component = np.array([len(w) for w in words]), rows["doc"].to_numpy(), rows["component"].to_numpy()
+        marks, places = (rows[c].combine_chunks().flatten().to_numpy().reshape(len(n), SKETCHES) for c in ("marks", "places"))
+        bits = np.array(bits).reshape(len(n), BITS // 64)
+        host = np.asarray(rows["home"].to_numpy(), bool)
+        homes = np.flatnonzero(host)
+        links = [], []
+        for g in np.flatnonzero(~host):
+            x = homes[(doc[homes] < doc[g]) & (component[homes] != component[g])]
+            edits = np.floor((1 - least) * np.maximum(n[x], n[g]) + 1e-9)
+            x, edits = (v[np.abs(n[x] - n[g]) <= edits] for v in (x, edits))
+            near = (marks[x] == marks[g]) & (np.abs(places[x] - places[g]) <= edits[:, None] + WORDS)
+            x, edits = (v[near.any(1)] for v in (x, edits))
+            x = x[np.bitwise_count(bits[x] ^ bits[g]).sum(1) <= 2 * edits]
+            own = words[g].tolist()
+            for i in x:
+                if similar(words[i].tolist(), own, least):
+                    links[0].append(doc[i]), links[1].append(doc[g])
+        return B.batch(["a", "b"], links, [pa.int64(), pa.int64()])
+
+    return given.groupBy("cell", "salt").applyInArrow(align, "a long, b long")
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) for each row of docs."""
     spark = docs.sparkSession
@@ -212,31 +308,45 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     reps = marked.groupBy("digest").agg(F.min(F.struct("doc_id", "n_words", "marks", "places")).alias("r"))
     keys = reps.select(F.col("r.doc_id").alias("rep"), F.col("r.n_words").alias("n"), F.explode(F.arrays_zip(F.col("r.marks"), F.col("r.places"), F.sequence(F.lit(0), F.lit(SKETCHES - 1)))).alias("s"))
     keys = keys.select("rep", "n", F.col("s.marks").alias("mark"), F.col("s.places").alias("place"), F.col("s.2").alias("i"))
-    order = F.struct(F.xxhash64("rep", F.pmod("i", F.lit(CENTRES))), "rep", "n", "place")
-    buckets = keys.groupBy("mark").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("c")).where("size > 1")
-    shared = keys.join(buckets.select("mark", "c.rep", "c.n", "c.place").toDF("mark", "centre", "centre_n", "centre_place"), "mark").checkpoint()
-
-    def may_match(n1, n2, p1, p2):
-        longest = F.greatest(n1, n2)
-        edits = F.floor(F.lit(1 - least) * longest + 1e-9)
-        return (F.abs(F.col(n1) - F.col(n2)) <= edits) & (F.abs(F.col(p1) - F.col(p2)) <= edits + WORDS)
-
-    first = shared.where("rep != centre").where(may_match("n", "centre_n", "place", "centre_place")).select(F.least("rep", "centre").alias("low"), F.greatest("rep", "centre").alias("high"), F.col("centre").alias("a"), F.col("rep").alias("b"))
-    first = first.groupBy("low", "high").agg(F.min("a").alias("a"), F.sum("a").alias("s")).select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")).checkpoint()
+    buckets = keys.groupBy("mark").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("mark")
+    shared = keys.join(buckets, "mark").checkpoint()
     packed = B.pack(docs, count)
-    links = verify(first, packed, count, least).checkpoint()
-    found = components(links)
-    placed = shared.join(found, shared["rep"] == found["node"], "left").select("mark", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
-    open_marks = placed.groupBy("mark").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("mark")
-    rest = placed.join(open_marks, "mark")
-    other = rest.select("mark", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "place", "component")))
-    # Pairs inside a component need no link of their own.
-    pairs = rest.join(other, "mark").where("rep < rep_2 and component != component_2").where(may_match("n", "n_2", "place", "place_2")).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.join(tried, ["a", "b"], "left_anti").checkpoint()
-    if not pairs.isEmpty():
-        links = links.union(verify(pairs, packed, count, least)).checkpoint()
-        found = components(links)
+
+    def may_match(p, q):
+        edits = F.floor(F.lit(1 - least) * F.greatest(p["n"], q["n"]) + 1e-9)
+        return (F.abs(p["n"] - q["n"]) <= edits) & (F.abs(p["place"] - q["place"]) <= edits + WORDS)
+
+    links = tried = found = None
+    for turn, high in enumerate(ROUNDS):
+        placed = _placed(shared.where(F.col("i") < high), found, turn)
+        # One member of each component in a bucket, then the bucket's centre.
+        one = placed.groupBy("mark", "component").agg(F.min("m").alias("m"))
+        centre = one.groupBy("mark").agg(F.min("m").alias("c"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        pairs = one.join(centre, "mark").where("m.component != c.component").where(may_match(F.col("m"), F.col("c"))).select(F.col("c.rep").alias("a"), F.col("m.rep").alias("b"))
+        pairs = pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("a").alias("a"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["low", "high"], "left_anti")
+        pairs = pairs.checkpoint()
+        many = pairs.count()
+        if many:
+            pairs = pairs.coalesce(tasks_for(many))
+            tried = pairs.select("low", "high") if tried is None else tried.union(pairs.select("low", "high"))
+            new = verify(pairs.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")), packed, count, least).checkpoint()
+            links = new if links is None else links.union(new)
+        if links is not None:
+            found = components(links) if turn else _near_labels(links)
+    rest = _placed(shared, found, 0)
+    split = rest.groupBy("mark").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("mark")
+    rest = rest.join(split, "mark").select("mark", "component", "m.rep").checkpoint()
+    apart = rest.select("rep", "component").distinct().join(reps.select(F.col("r.doc_id").alias("rep"), F.col("r.marks").alias("marks"), F.col("r.places").alias("places")), "rep").checkpoint()
+    many = apart.count()
+    if many:
+        new = verify_apart(rest, apart, many, packed, count, least).checkpoint()
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            found = components(links)
+    if found is None:
+        found = spark.createDataFrame([], "node long, component long")
     of_rep = reps.select("digest", F.col("r.doc_id").alias("rep")).join(found, F.col("rep") == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     known = marked.select("doc_id", "digest").join(of_rep, "digest").select("doc_id", "class_id")
     bare = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"))
