@@ -44,18 +44,38 @@ def jaccard_pairs(docs: DataFrame, least: float = 0.7, k: int = 3) -> DataFrame:
     return j.where(F.col("jaccard") >= least)
 
 
+def _bands(hashes: int = HASHES, bands: int = BANDS, seed: int = 17):
+    """A vectorised function from arrays of hashes to one number for each band of minima."""
+    rng = np.random.default_rng(seed)
+    odd = rng.integers(0, 2**63, hashes).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 2**63, hashes).astype(np.uint64)
+
+    def run(sets):
+        import pandas as pd
+
+        out = []
+        for s in sets:
+            h = np.asarray(s, np.int64).view(np.uint64)
+            h = h ^ (h >> np.uint64(32))
+            low = (odd[:, None] * h[None, :] + add[:, None]).min(1).reshape(bands, -1)
+            key = np.arange(bands, dtype=np.uint64)
+            for column in low.T:
+                key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            out.append(key.view(np.int64))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<long>", F.PandasUDFType.SCALAR)
+
+
 def minhash_pairs(docs: DataFrame, least: float = 0.7, k: int = 3) -> DataFrame:
     """The same pairs with candidates from MinHash bands (BANDS of HASHES / BANDS rows), verified
-    exactly. Signatures are min aggregates of seeded 64-bit hashes, JVM-side."""
+    exactly. Signatures are minima of universal hashes (a * h + b, a odd, modulo 2^64)."""
     s = shingles(docs, k)
     sets = s.groupBy("doc_id").agg(F.sort_array(F.collect_set("shingle")).alias("set"))
     reps = sets.groupBy("set").agg(F.min("doc_id").alias("rep")).select("rep", "set", F.size("set").alias("n"))
-    rows = HASHES // BANDS
-
-    def least_hash(seed):
-        return F.array_min(F.transform("set", lambda x: F.xxhash64(x, seed)))
-
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[least_hash(b * rows + r) for r in range(rows)]))
+    # One 64-bit hash a shingle in the JVM; the universal hashes of it are vector arithmetic.
+    band = _bands()(F.transform("set", lambda x: F.xxhash64(x)))
     buckets = reps.select("rep", "n", F.explode(band).alias("bucket"))
     other = buckets.toDF("b", "m", "bucket")
     pairs = buckets.select(F.col("rep").alias("a"), "n", "bucket").join(other, "bucket").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))).select("a", "b").distinct()
