@@ -12,30 +12,35 @@ from lattica.llm.textops import table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _documents(spark, docs):
+    lattica.ship(spark)
+    return docs.select(*COLUMNS)
+
+
 def without_toxic(spark, docs, sf_dir):
     """Rows that aren't toxic, by a model fitted on the labelled rows among them."""
-    docs = docs.select(*COLUMNS)
+    docs = _documents(spark, docs)
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def without_near_duplicates(spark, docs, sf_dir):
     """The smallest doc_id of each class of near duplicates."""
-    return near_dedup.without_duplicates(docs.select(*COLUMNS))
+    return near_dedup.without_duplicates(_documents(spark, docs))
 
 
 def without_repeated_passages(spark, docs, sf_dir):
     """Texts without the words of windows that a smaller doc_id has too."""
-    return substring_dedup.without_repeats(docs.select(*COLUMNS))
+    return substring_dedup.without_repeats(_documents(spark, docs))
 
 
 def without_benchmark(spark, docs, sf_dir):
     """Rows that aren't contaminated."""
-    return decontamination.without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontamination.without_contaminated(_documents(spark, docs), table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark, docs, sf_dir):
     """Pieces of sequences, as op3."""
-    return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(_documents(spark, docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -52,7 +57,6 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """The rows of the last stage."""
-    lattica.ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -21,16 +21,19 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 
-#: Input (file) bytes for one block, and text gathered in a task before it is compressed.
-BLOCK_BYTES = 4_000_000
+#: Input (file) bytes for one block, at least and at most: blocks grow with the square root of the
+#: input, so that what a block sends to a range of keys stays worth a row. Then: text gathered in
+#: a task before it is compressed.
+BLOCK_BYTES, LARGEST_BLOCK = 4_000_000, 64_000_000
 PACK_BYTES = 24_000_000
 SCHEMA = "block int, ids binary, known binary, sizes binary, body binary, extra binary"
 MOST = np.iinfo(np.int64).max
 
 
-def count_for(df: DataFrame, unit: int = BLOCK_BYTES, least: int = 16, most: int = 1 << 18) -> int:
+def count_for(df: DataFrame, least: int = 16, most: int = 1 << 22) -> int:
     """A power of two that follows the input's size (the plan's own estimate, no job)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    unit = min(LARGEST_BLOCK, max(BLOCK_BYTES, math.sqrt(16_000 * size)))
     return 1 << max(0, math.ceil(math.log2(min(most, max(least, size / unit)))))
 
 
