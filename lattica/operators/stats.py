@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpoint_folder
+
 LEAST_VALUES = 40
 
 
@@ -91,10 +93,10 @@ def trigram_surprisal(lines: DataFrame, k: float = 0.1, least_tokens: int = 5000
     order = F.posexplode("tokens").alias("pos", "t")
     tok = lines.select("doc_id", "line_no", "tokens", order)
     flat = tok.select("doc_id", "line_no", "pos", "t", F.get("tokens", F.col("pos") - 1).alias("p1"), F.get("tokens", F.col("pos") - 2).alias("p2"))
-    uni = flat.groupBy(F.col("t").alias("u")).agg(F.count(F.lit(1)).alias("c1"))
-    whole = uni.agg(F.sum("c1").alias("total"), F.count(F.lit(1)).alias("v"))
-    three = flat.where("p2 is not null")
-    c3 = three.groupBy("p2", "p1", "t").agg(F.count(F.lit(1)).alias("c3"))
+    checkpoint_folder(lines.sparkSession)
+    every = flat.groupBy("p2", "p1", "t").agg(F.count(F.lit(1)).alias("c3")).checkpoint()  # line starts included
+    whole = every.groupBy("t").agg(F.sum("c3").alias("c1")).agg(F.sum("c1").alias("total"), F.count(F.lit(1)).alias("v"))
+    three, c3 = flat.where("p2 is not null"), every.where("p2 is not null")
     c2 = c3.groupBy("p2", "p1").agg(F.sum("c3").alias("c2"))
     j = three.join(c3, ["p2", "p1", "t"]).join(c2, ["p2", "p1"]).crossJoin(F.broadcast(whole))
     bits = j.groupBy("doc_id", "line_no").agg(F.avg(-F.log2((F.col("c3") + k) / (F.col("c2") + k * F.col("v")))).alias("bits"), F.max("total").alias("total"))
