@@ -402,6 +402,177 @@ _temporal("HiddenCouplingDetector", lambda c, t: t.confidence(t.pairs(t.analysed
 _temporal("ShotgunSurgeryDetector", lambda c, t: t.coupling_degree(t.analysed(c.commits)).where("degree >= 10"), 2, "Changes spread widely")
 
 
+@detector("CircularDependencyDetector")
+def circular_imports(ctx):
+    """Strong components of imports between Python files; a module name is matched by its last part
+    where only one file has it. Imports under a type-checking guard don't count."""
+    stem = F.regexp_extract("path", r"([^/]+)\.py$", 1)
+    py = ctx.lines.where("language = 'python'")
+    one = py.select("path", stem.alias("module")).distinct().where("module not in ('', '__init__')").groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("target")).where("n = 1").drop("n")
+    guarded = F.coalesce(F.lag("code").over(Window.partitionBy("path").orderBy("line_no")).rlike(r"^\s*if\s+(typing\.)?TYPE_CHECKING"), F.lit(False))
+    said = py.withColumn("guarded", guarded).where(r"not guarded and code rlike '^\\s*(import|from)\\s'").select("path", F.regexp_extract("code", r"^\s*(?:import|from)\s+(?:[\w.]*\.)?(\w+)", 1).alias("module"))
+    e = said.join(one, "module").where("path != target").select(F.xxhash64("path").alias("src"), F.xxhash64("target").alias("dst"), "path").distinct()
+    c = graph.strong_components(e.select("src", "dst").distinct())
+    g = e.join(c, F.col("src") == F.col("id")).groupBy("component").agg(F.countDistinct("path").alias("n"), F.min("path").alias("path")).withColumn("none", F.lit(None).cast("int"))
+    return row(g, "CircularDependencyDetector", F.when(F.col("n") >= 10, 4).when(F.col("n") >= 5, 3).otherwise(2), F.concat(F.lit("Import cycle of "), F.col("n").cast("string"), F.lit(" files")), "none", "none", category="architecture")
+
+
+def _ranked(ctx, weighted):
+    e, ids = _numbered(ctx)
+    if weighted:
+        e = e.join(ids.select(F.col("id").alias("dst"), (1.0 + F.col("complexity")).alias("w")), "dst")
+    return graph.page_rank(ids.select("id"), e, weight="w" if weighted else None), ids
+
+
+@detector("PageRankDriftDetector")
+def rank_drift(ctx):
+    plain, ids = _ranked(ctx, False)
+    heavy, _ = _ranked(ctx, True)
+    p, q = stats.percentile_bucket(plain, "rank", "p").select("id", "p"), stats.percentile_bucket(heavy, "rank", "q").select("id", "q")
+    return row(ids.join(p, "id").join(q, "id").where("abs(p - q) > 60 and (p >= 50 or q >= 50)"), "PageRankDriftDetector", 1, F.concat(F.lit("Rank drift: "), F.col("name")), category="architecture")
+
+
+def _central(ctx, weighted):
+    e, ids = _numbered(ctx)
+    total = ids.count()
+    if weighted:
+        e = e.join(ids.select(F.col("id").alias("dst"), (1.0 + F.col("complexity")).alias("w")), "dst")
+        return kernels.weighted_betweenness(e, ids.select("id").orderBy("id").limit(200), total), ids
+    return kernels.betweenness(e, ids.select("id").orderBy("id").limit(min(total, max(64, total // 4)))), ids
+
+
+@detector("ArchitecturalBottleneckDetector")
+def bottleneck(ctx):
+    b, ids = _central(ctx, False)
+    hit = ids.join(stats.percentile_bucket(b, "betweenness", "p").where("p >= 95"), "id").where("complexity > 20")
+    return row(hit, "ArchitecturalBottleneckDetector", 2, F.concat(F.lit("Bottleneck: "), F.col("name")), category="architecture")
+
+
+@detector("TemporalBottleneckDetector")
+def temporal_bottleneck(ctx):
+    w, ids = _central(ctx, True)
+    b, _ = _central(ctx, False)
+    p, q = stats.percentile_bucket(w, "betweenness", "p").select("id", "p"), stats.percentile_bucket(b, "betweenness", "q").select("id", "q")
+    hit = ids.join(p, "id").join(q, "id", "left").where("p >= 97 and p - coalesce(q, 0) >= 20")
+    return row(hit, "TemporalBottleneckDetector", 2, F.concat(F.lit("On the path of change: "), F.col("name")), category="architecture")
+
+
+def _communities(ctx):
+    e, ids = _numbered(ctx)
+    c = ctx.files.sparkSession.createDataFrame(sorted(kernels.communities(kernels.edge_list(e)).items()), "id long, community long")
+    return e, ids.withColumn("folder", F.regexp_extract("path", "^(.*)/", 1)).join(c, "id")
+
+
+@detector("CommunityMisplacementDetector")
+def misplaced(ctx):
+    _, n = _communities(ctx)
+    most = n.groupBy("folder", "community").agg(F.count(F.lit(1)).alias("k")).groupBy("folder").agg(F.max(F.struct("k", "community")).alias("m"), F.sum("k").alias("total"))
+    hit = n.join(most, "folder").where("community != m.community and m.k * 2 > total")
+    return row(hit, "CommunityMisplacementDetector", 1, F.concat(F.lit("Belongs elsewhere: "), F.col("name")), category="architecture")
+
+
+@detector("ModuleCohesionDetector")
+def module_cohesion(ctx):
+    e, n = _communities(ctx)
+    q = graph.modularity(e, n, "folder").where("modularity < 0.2").withColumn("none", F.lit(None).cast("int")).withColumn("path", F.lit("."))
+    return row(q, "ModuleCohesionDetector", 1, F.concat(F.lit("Folders don't match calls: modularity "), F.round("modularity", 3).cast("string")), "none", "none", category="architecture")
+
+
+_temporal("CriticalPathSingleOwnerDetector", lambda c, t: _single_owner_critical(c, t), 2, "One owner on a critical path")
+
+
+def _single_owner_critical(ctx, t):
+    rank, ids = _ranked(ctx, False)
+    top = stats.percentile_bucket(rank, "rank", "p").where("p >= 90").select("id")
+    files = ids.join(top, "id").select(F.col("path").alias("file")).distinct()
+    return t.bus_factor(t.ownership(ctx.commits)).where("bus_factor <= 1").join(files, "file", "left_semi")
+
+
+@detector("DepAuditDetector")
+def dependency_audit(ctx):
+    """Pinned dependencies listed in an advisory table (ecosystem, name, version, advisory) that the
+    caller gives as option `advisories`, with `lock_files` (path, content); empty without."""
+    known, files = ctx.option("DepAuditDetector", "advisories", None), ctx.option("DepAuditDetector", "lock_files", None)
+    empty = ctx.files.limit(0).select("path", F.lit("").alias("advisory"), F.lit(None).cast("int").alias("none"))
+    if known is None or files is None:
+        return row(empty, "DepAuditDetector", 3, F.col("advisory"), "none", "none", category="security", cwe="CWE-1104")
+    hit = code.lock_entries(files).join(known, ["ecosystem", "name", "version"]).select(F.concat_ws("@", "name", "version").alias("path"), "advisory", F.lit(None).cast("int").alias("none"))
+    return row(hit, "DepAuditDetector", 3, F.concat(F.lit("Known vulnerability: "), F.col("advisory")), "none", "none", category="security", cwe="CWE-1104")
+
+
+def _class_calls(ctx):
+    f = ctx.functions
+    own = f.select(F.col("qualified_name").alias("src"), F.col("class_name").alias("a"), F.col("path").alias("from_path"))
+    to = f.select(F.col("qualified_name").alias("dst"), F.col("class_name").alias("b"), F.col("path").alias("to_path"))
+    return ctx.edges.join(own, "src").join(to, "dst")
+
+
+@detector("FeatureEnvyDetector")
+def feature_envy(ctx):
+    g = _class_calls(ctx).where("a is not null").groupBy("src").agg(F.sum((F.col("b").isNotNull() & (F.col("a") != F.col("b"))).cast("int")).alias("away"), F.sum((F.col("a") == F.col("b")).cast("int")).alias("home"))
+    hit = ctx.functions.join(g.where("away >= 15 and away >= 3 * greatest(coalesce(home, 0), 1)").withColumnRenamed("src", "qualified_name"), "qualified_name")
+    return row(hit, "FeatureEnvyDetector", 2, F.concat(F.lit("Uses other classes more than its own: "), F.col("name")), category="design")
+
+
+@detector("InappropriateIntimacyDetector")
+def intimacy(ctx):
+    g = _class_calls(ctx).where("from_path != to_path").groupBy(F.least("from_path", "to_path").alias("path"), F.greatest("from_path", "to_path").alias("other")).agg(F.sum((F.col("from_path") < F.col("to_path")).cast("int")).alias("there"), F.sum((F.col("from_path") > F.col("to_path")).cast("int")).alias("back"))
+    total = F.col("there") + F.col("back")
+    hit = g.where((F.least("there", "back") >= 8) | (total >= 20)).withColumn("none", F.lit(None).cast("int"))
+    return row(hit, "InappropriateIntimacyDetector", F.when(total >= 40, 3).otherwise(2), F.concat(F.lit("Tightly coupled with "), F.col("other")), "none", "none", category="design")
+
+
+@detector("LazyClassDetector")
+def lazy_class(ctx):
+    m = ctx.functions.where("class_name is not null and not name rlike '^__'").select("path", "class_name", "name", F.size("params").alias("arity"), "line_start", "line_end")
+    small = m.groupBy("path", "class_name").agg(F.count(F.lit(1)).alias("methods"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end")).where("methods <= 5")
+    own = m.join(small.select("path", "class_name"), ["path", "class_name"], "left_semi")
+    other = m.select(F.col("path").alias("p2"), F.col("class_name").alias("c2"), "name", "arity").distinct()
+    same = own.join(other, ["name", "arity"]).where("path != p2 or class_name != c2").groupBy("path", "class_name", "p2", "c2").agg(F.countDistinct("name").alias("k")).where("k >= 3").groupBy("path", "class_name").agg(F.min("c2").alias("c2"))
+    return row(small.join(same, ["path", "class_name"]), "LazyClassDetector", 0, F.concat(F.lit("Overlaps with "), F.col("c2"), F.lit(": "), F.col("class_name")), category="design")
+
+
+@detector("RefusedBequestDetector")
+def refused_bequest(ctx):
+    head = r"^\s*class\s+(\w+)\s*\(\s*([\w.]+)"
+    child = ctx.lines.where("language = 'python'").select("path", F.regexp_extract("code", head, 1).alias("class_name"), F.regexp_extract("code", head, 2).alias("parent")).where("class_name != '' and not parent rlike '(?i)base|abstract|mixin|^object$|enum|exception|error'")
+    g = ctx.functions.where("class_name is not null").groupBy("path", "class_name").agg(F.count(F.lit(1)).alias("methods"), F.sum(((F.col("complexity") <= 2) & (loc() <= 5) & (F.size("calls") == 0)).cast("int")).alias("trivial"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"))
+    return row(g.where("methods >= 3 and trivial >= 2").join(child, ["path", "class_name"]), "RefusedBequestDetector", 1, F.concat(F.lit("Inherits but overrides with little: "), F.col("class_name")), category="design")
+
+
+@detector("AIBoilerplateDetector")
+def boilerplate(ctx):
+    shape = ["complexity", "nesting", "returns", "bare_returns", "yields", F.size("params").alias("arity"), F.array_sort(F.array_distinct("calls")).alias("called")]
+    f = ctx.functions.where("complexity >= 2 and size(calls) >= 2").select("path", "line_start", "line_end", "name", *shape)
+    g = f.groupBy("complexity", "nesting", "returns", "bare_returns", "yields", "arity", "called").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "line_start", "line_end", "name")).alias("m")).where("n >= 3")
+    return row(g.select("n", "m.*"), "AIBoilerplateDetector", 1, F.concat(F.col("n").cast("string"), F.lit(" functions like "), F.col("name")), category="ai")
+
+
+@detector("surprisal")
+def surprisal(ctx):
+    """Functions whose mean bits a token under a trigram model of the tree are 2 deviations up."""
+    t = F.regexp_extract_all(F.lower("code"), F.lit(r"[a-z_]\w*|\d+|[^\s\w]"), F.lit(0))
+    d = ctx.lines.select(F.xxhash64("path").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), t.alias("tokens"))
+    bits = stats.trigram_surprisal(d).where("bits > 0")
+    spans = ctx.functions.select(F.xxhash64("path").alias("doc_id"), "path", "name", "line_start", "line_end", F.explode(F.sequence(F.col("line_start").cast("long"), F.col("line_end").cast("long"))).alias("line_no"))
+    g = spans.join(bits, ["doc_id", "line_no"]).groupBy("path", "name", "line_start", "line_end").agg(F.avg("bits").alias("bits"))
+    z = stats.z_scores(g, "bits").where("z >= 2")
+    return row(z, "surprisal", F.when(F.col("z") >= 3.5, 2).when(F.col("z") >= 2.5, 1).otherwise(0), F.concat(F.lit("Unusual code: "), F.col("name")))
+
+
+@detector("hierarchical-surprisal")
+def hierarchical(ctx):
+    """Functions that stand out on at least two of four levels; more agreement is more severe."""
+    f = _with_degree(ctx).withColumn("loc", loc())
+    if f.limit(20).count() < 20:
+        f = f.limit(0)
+    levels = {"complexity": 2.5, "loc": 2.0, "fan_in": 2.0, "fan_out": 2.0}
+    for c in levels:
+        f = stats.z_scores(f, c).withColumnRenamed("z", f"z_{c}")
+    agree = sum(((F.col(f"z_{c}") >= t).cast("int") for c, t in levels.items()), F.lit(0))
+    return row(f.withColumn("k", agree).where("k >= 2"), "hierarchical-surprisal", F.least(F.lit(3), F.col("k") - 1), F.concat(F.lit("Stands out on several levels: "), F.col("name")))
+
+
 def names() -> list[str]:
     return sorted({r.name for r in LINE_RULES} | set(REGISTRY))
 
