@@ -42,7 +42,7 @@ ALPHA, DISCOUNT = 0.1, 0.75
 END = U64(0x0E4D0E4D0E4D0E4D)
 TEXT_BYTES = 12_000_000
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_in_context long"
-_BLOCK = "block long, ids binary, known binary, sizes binary, body binary, n_train long"
+_BLOCK = "block long, ids binary, known binary, sizes binary, vocabulary binary, body binary, n_train long"
 _SENT = "bucket int, block long, keys binary, counts binary"
 
 
@@ -67,7 +67,8 @@ def _tokens(data, offsets):
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Blocks of about TEXT_BYTES, one row each, kept."""
+    """Blocks of about TEXT_BYTES, one row each, kept: the distinct fingerprints of a block's tokens
+    in order, and each token as a place among them, so that texts are read once."""
 
     def run(batches):
         held, size, part, turn = [], 0, TaskContext.get().partitionId(), 0
@@ -81,17 +82,16 @@ def packed(docs: DataFrame) -> DataFrame:
             yield flush(held, (part << 24) + turn)
 
     def flush(held, name):
-        import zstandard
-
         table = pa.Table.from_batches(held)
         column = table["doc_id"]
         known = np.asarray(column.is_valid().combine_chunks().to_numpy(zero_copy_only=False), np.uint8)
         ids = column.fill_null(B.MOST).to_numpy()
-        data, offsets = T.text_buffers(table["text"])
-        _, first = _tokens(data, offsets)
-        n = int(np.diff(first)[_folds(ids, known)[1]].sum())
-        row = [ids.tobytes(), known.tobytes(), np.diff(offsets).tobytes(), zstandard.ZstdCompressor(level=3).compress(data.tobytes())]
-        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in row), pa.array([n], pa.int64())], names=["block", "ids", "known", "sizes", "body", "n_train"])
+        tokens, first = _tokens(*T.text_buffers(table["text"]))
+        sizes = np.diff(first)
+        n = int(sizes[_folds(ids, known)[1]].sum())
+        keys, at = np.unique(tokens, return_inverse=True)
+        row = [ids.tobytes(), known.tobytes(), sizes.astype(np.int64).tobytes(), B.squeeze(keys, True), B.squeeze(at.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in row), pa.array([n], pa.int64())], names=["block", "ids", "known", "sizes", "vocabulary", "body", "n_train"])
 
     T.small_batches(docs.sparkSession)
     B.checkpoints(docs.sparkSession)
@@ -99,8 +99,8 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def _ranges(keys, counts, part, buckets, block):
-    """Entries of a block in one row for each bucket, keys rising in it."""
-    order = np.lexsort((keys, part))
+    """Entries of a block, given by rising key, in one row for each bucket."""
+    order = np.argsort(part.astype(np.uint16) if buckets <= 1 << 16 else part, kind="stable")
     keys, counts, part = keys[order], counts[order], part[order]
     cuts = np.searchsorted(part, np.arange(buckets + 1))
     rows = [p for p in range(buckets) if cuts[p] < cuts[p + 1]]
@@ -115,8 +115,16 @@ def _each(batches):
     for batch in batches:
         table = pa.Table.from_batches([batch])
         for i in range(table.num_rows):
-            row = table.slice(i, 1)
-            yield row["block"][0].as_py(), *B.unpack(row)
+            yield table["block"][i].as_py(), *_unpacked(table.slice(i, 1))
+
+
+def _unpacked(row: pa.Table):
+    """(ids, known, distinct fingerprints, each token's place among them, first tokens) of a block."""
+    ids = np.frombuffer(row["ids"][0].as_py(), np.int64)
+    known = np.frombuffer(row["known"][0].as_py(), np.uint8).astype(bool)
+    sizes = np.frombuffer(row["sizes"][0].as_py(), np.int64)
+    keys = B.expand(row["vocabulary"][0].as_py(), U64, True)
+    return ids, known, keys, B.expand(row["body"][0].as_py(), np.uint32).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
 
 
 def _totals(rows: pa.Table):
@@ -142,16 +150,17 @@ class Tree:
     def base(self, count):
         return (count + ALPHA) / (self.n + ALPHA * (self.v + 1))
 
-    def indices(self, tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """For each token and length: the index of the sequence that ends there, or -1."""
-        out = [_index(self.words, tokens)]
-        start = np.zeros(len(tokens), bool)
+    def indices(self, word: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """For each token, given its own index or -1, and each length: the index of the sequence that
+        ends there, or -1."""
+        out = [word]
+        start = np.zeros(len(word), bool)
         start[first[:-1][np.diff(first) > 0]] = True
         for codes in self.codes:
             before = np.concatenate(([-1], out[-1][:-1]))
             before[start] = -1
             both = (before >= 0) & (out[0] >= 0)
-            found = np.full(len(tokens), -1)
+            found = np.full(len(word), -1)
             code = before[both] * len(self.words) + out[0][both]
             found[both] = _index(codes, code)
             out.append(found)
@@ -211,12 +220,13 @@ class Tree:
         p[ok] = share + self.rest[d][c] * p[ok]
         return p
 
-    def log10(self, tokens, first, count) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(base, model, whether a context was used) for each token, given its training count."""
+    def log10(self, word, first, count) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(base, model, whether a context was used) for each token, given its index among the
+        tree's words and its training count."""
         base = self.base(count.astype(float))
-        p, used = base, np.zeros(len(tokens), bool)
-        index = self.indices(tokens, first)
-        start = np.zeros(len(tokens), bool)
+        p, used = base, np.zeros(len(word), bool)
+        index = self.indices(word, first)
+        start = np.zeros(len(word), bool)
         start[first[:-1][np.diff(first) > 0]] = True
         for d in range(len(self.retained)):
             context = np.concatenate(([-1], index[d][:-1]))
@@ -241,9 +251,7 @@ def train(blocks: DataFrame, buckets: int, depth: int = DEPTH, p_min: float = P_
     shift = U64(64 - (buckets.bit_length() - 1))
 
     def count_words(batches):
-        for block, ids, known, data, offsets in _each(batches):
-            tokens, first = _tokens(data, offsets)
-            keys, at = np.unique(tokens, return_inverse=True)
+        for block, ids, known, keys, at, first in _each(batches):
             mask = np.repeat(_folds(ids, known)[1], np.diff(first))
             counts = np.bincount(at[mask], minlength=len(keys))
             yield _ranges(keys, counts, (keys >> shift).astype(np.int64), buckets, block)
@@ -269,11 +277,10 @@ def train(blocks: DataFrame, buckets: int, depth: int = DEPTH, p_min: float = P_
 
         def count_next(batches, shared=shared):
             own = shared.value
-            for block, ids, known, data, offsets in _each(batches):
-                tokens, first = _tokens(data, offsets)
-                index = own.indices(tokens, first)
+            for block, ids, known, keys, at, first in _each(batches):
+                index = own.indices(_index(own.words, keys)[at], first)
                 trains = np.repeat(_folds(ids, known)[1], np.diff(first))
-                start = np.zeros(len(tokens), bool)
+                start = np.zeros(len(at), bool)
                 start[first[:-1]] = True
                 ok = np.concatenate(([False], index[-1][:-1] >= 0)) & (index[0] >= 0) & trains & ~start
                 at = np.flatnonzero(ok)
@@ -307,13 +314,11 @@ def scores(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, least: int
 
     def score(rows: pa.Table, told: pa.Table) -> pa.Table:
         own = shared.value
-        ids, known, data, offsets = B.unpack(rows)
-        tokens, first = _tokens(data, offsets)
-        keys, at = np.unique(tokens, return_inverse=True)
+        ids, known, keys, at, first = _unpacked(rows)
         order = np.argsort(told["bucket"].to_numpy())
         parts = told["totals"].to_pylist()
         count = np.concatenate([B.expand(parts[i], np.int64) for i in order])[at]
-        base, model, used = own.log10(tokens, first, count)
+        base, model, used = own.log10(_index(own.words, keys)[at], first, count)
         edges = np.cumsum(np.stack([count > 0, used]), axis=1)
         known_n, used_n = (np.diff(np.concatenate(([0], e))[first]) for e in edges)
         heads = first[:-1]

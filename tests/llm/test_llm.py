@@ -120,7 +120,7 @@ def test_language_model_probabilities_sum_to_one():
         for w, count in [*zip(range(1, 6), tree.counts[0]), *[(50 + i, 500 / 4) for i in range(4)], (99, 0)]:
             tokens = np.array([*context, w], np.uint64)
             counts = np.array([0] * len(context) + [count])
-            total += 10 ** tree.log10(tokens, np.array([0, len(tokens)]), counts)[1][-1]
+            total += 10 ** tree.log10(suffix_tree._index(tree.words, tokens), np.array([0, len(tokens)]), counts)[1][-1]
         assert abs(total - 1) < 1e-9, context
     assert rng
 
