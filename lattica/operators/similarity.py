@@ -4,6 +4,7 @@ exact and quantised nearest neighbours."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +51,7 @@ def _bands(hashes: int = HASHES, bands: int = BANDS, seed: int = 17):
     odd = rng.integers(0, 2**63, hashes).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, hashes).astype(np.uint64)
 
-    def run(sets):
-        import pandas as pd
-
+    def run(sets: pd.Series) -> pd.Series:
         out = []
         for s in sets:
             h = np.asarray(s, np.int64).view(np.uint64)
@@ -65,7 +64,7 @@ def _bands(hashes: int = HASHES, bands: int = BANDS, seed: int = 17):
             out.append(key.view(np.int64))
         return pd.Series(out)
 
-    return F.pandas_udf(run, "array<long>", F.PandasUDFType.SCALAR)
+    return F.pandas_udf(run, "array<long>")
 
 
 def minhash_pairs(docs: DataFrame, least: float = 0.7, k: int = 3) -> DataFrame:
@@ -92,8 +91,6 @@ def _blocks(vectors: DataFrame, size: int):
 def nearest_exact(queries: DataFrame, vectors: DataFrame, k: int, block: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: cosine top k of a stated query set against all rows, scored in
     blocks: each block of vectors meets each block of queries once and returns k rows a query."""
-    import pandas as pd
-
     v, parts = _blocks(vectors, block)
     q, groups = _blocks(queries, 2_000)
     left = v.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.col("part") * groups + g))).select("pair", "vec_id", "v")
@@ -144,8 +141,6 @@ class Quantizer:
 def nearest_quantized(queries: DataFrame, vectors: DataFrame, k: int, dims: int, factor: int = 4, seed: int = 42) -> DataFrame:
     """query_id, rank, vec_id, score: a shortlist of k * factor by quantised cosine, then the exact
     cosine on the reconstruction of the query and the original vectors."""
-    import pandas as pd
-
     v, parts = _blocks(vectors, 20_000)
     q, groups = _blocks(queries, 2_000)
     left = v.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.col("part") * groups + g))).select("pair", "vec_id", "v")
