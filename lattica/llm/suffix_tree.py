@@ -2,10 +2,8 @@
 
 Tokens are words (A-Z lowered) and one end token a document. The root gives the additive base
 distribution (c + 0.1) / (N + 0.1 (V + 1)), whose last share stands for any unseen word. A context
-of 1 to DEPTH words is a candidate if it was seen in training at least max(LEAST, P_MIN * N)
-times, and so are next words after it; as counts of one length sum to at most N, a length has at
-most 1 / P_MIN of them whatever the corpus' size, which bounds what is sent to and from the
-driver. A context is retained if its next-word distribution differs from that of its longest
+of 1 to DEPTH words is a candidate if it was seen in training at least LEAST times, whatever the
+corpus' size, and so are next words after it. A context is retained if its next-word distribution differs from that of its longest
 retained suffix by more than the description length of its own counts (log-likelihood gain
 against 0.5 log2 N bits for each count). Distributions are smoothed by absolute discounting: the
 mass freed goes to the suffix' distribution, so every state's probabilities sum to 1. A token is
@@ -13,9 +11,11 @@ scored in the state of the longest retained suffix before it.
 
 Counts cover all training rows. Documents are packed into blocks once and kept in the shared
 folder; a block sends each distinct word or word sequence once, with its count, to a range of
-keys, where totals are made. Totals of words go back to the blocks that asked, in the order they
-asked in, so that the unbounded vocabulary is nowhere in one place. Word fingerprints have 64
-bits.
+keys, where totals are made. Totals go back to the blocks that asked, in the order they asked in,
+so that neither the vocabulary nor the tree is anywhere in one place. One of the blocks that hold
+a sequence (the first) then sends it to its context's range, which decides on the context and
+answers the blocks. A sequence can only reach LEAST if both its context and its own suffix do, so
+others aren't asked for. Fingerprints of words and sequences have 64 bits.
 
 Null and empty texts are the end token alone. A null doc_id doesn't train and isn't held out.
 Every row is scored on its own, repeated ids too. Without training rows all words are unseen.
@@ -36,14 +36,18 @@ from . import blocks as B
 from . import textops as T
 
 U64 = np.uint64
-DEPTH, P_MIN, LEAST = 3, 5e-7, 4
+DEPTH, LEAST = 3, 4
 FOLDS = 10
 ALPHA, DISCOUNT = 0.1, 0.75
 END = U64(0x0E4D0E4D0E4D0E4D)
+STEP = U64(0x9E3779B97F4A7C15)
 TEXT_BYTES = 12_000_000
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_in_context long"
 _BLOCK = "block long, ids binary, known binary, sizes binary, vocabulary binary, body binary, n_train long"
 _SENT = "bucket int, block long, keys binary, counts binary"
+_SENT_ON = "bucket int, block long, asks binary, contexts binary, totals binary, sizes binary, parents binary"
+_TOLD = "level int, step int, block long, bucket int, body binary"
 
 
 def _folds(ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +141,7 @@ def _totals(rows: pa.Table):
 
 
 class Tree:
-    """Retained contexts. Words and longer sequences have indices in sorted arrays; a sequence's
+    """The model in one place, for small corpora: retained contexts. Words and longer sequences have indices in sorted arrays; a sequence's
     code is (index of its first words) * len(words) + (index of its last word)."""
 
     def __init__(self, words: np.ndarray, word_counts: np.ndarray, n: int, v: int):
@@ -244,85 +248,190 @@ def _index(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-def train(blocks: DataFrame, buckets: int, depth: int = DEPTH, p_min: float = P_MIN, least: int = LEAST):
-    """(tree, totals of words for the blocks that asked)."""
+class _Tokens:
+    """A block's tokens with the probabilities of the levels taken so far. `names` are the rising
+    fingerprints of the block's sequences of one length, `totals` their counts in training, and
+    `at` the place of the one that ends at a token, or -1 if it has less than `least`."""
+
+    def __init__(self, rows: pa.Table, told: pa.Table, n: int, v: int, least: int):
+        self.ids, self.known, self.keys, word, self.first = _unpacked(rows)
+        self.told = told
+        self.names, self.totals = self.keys, self.answers(0, 0, np.int64)
+        self.counts, self.base = self.totals, (self.totals + ALPHA) / (n + ALPHA * (v + 1))  # of words
+        self.p, self.used = self.base[word], np.zeros(len(word), bool)
+        # Places take 4 bytes, as there are several for each token of a block.
+        self.word = word = word.astype(np.int32)
+        self.at = np.where(self.totals >= least, np.arange(len(self.keys), dtype=np.int32), np.int32(-1))[word]
+        self.trains = np.repeat(_folds(self.ids, self.known)[1], np.diff(self.first))
+
+    def answers(self, level: int, step: int, kind) -> np.ndarray:
+        pick = np.flatnonzero((self.told["level"].to_numpy() == level) & (self.told["step"].to_numpy() == step))
+        bucket, body = self.told["bucket"].to_numpy()[pick], self.told["body"]
+        parts = [B.expand(body[int(i)].as_py(), kind) for i in pick[np.argsort(bucket)]]
+        return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+    def find(self) -> None:
+        """The sequences one word longer, and the contexts before all tokens."""
+        self.context = np.concatenate((np.full(1, -1, np.int32), self.at[:-1]))
+        self.context[self.first[:-1][np.diff(self.first) > 0]] = -1
+        self.where = np.flatnonzero((self.context >= 0) & (self.at >= 0)).astype(np.int32)
+        name = self.names[self.context[self.where]]
+        name *= STEP
+        name += self.keys[self.word[self.where]]
+        name = T.mix(name)
+        order = np.argsort(name)
+        name = name[order]
+        new = np.concatenate((name[:1] == name[:1], name[1:] != name[:-1]))
+        self.longer, self.place = name[new], np.empty(len(name), np.int32)
+        self.place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        self.asked = np.zeros(len(self.names), bool)
+        self.asked[self.context[self.context >= 0]] = True
+
+    def seen(self) -> np.ndarray:
+        return np.bincount(self.place[self.trains[self.where]], minlength=len(self.longer))
+
+    def owned(self, told: np.ndarray):
+        """(contexts, totals, contexts' totals, probabilities without them) of the sequences that
+        this block has to send, by rising context."""
+        some = np.zeros(len(self.longer), np.int64)
+        some[self.place] = self.where
+        own = np.flatnonzero(told & 1)
+        own = own[np.argsort(self.context[some[own]], kind="stable")]
+        context = self.context[some[own]]
+        return self.names[context], told[own] >> 1, self.totals[context], self.p[some[own]]
+
+    def take(self, told: np.ndarray, told_rest: np.ndarray) -> None:
+        """The contexts of this length come in; those one word longer are next."""
+        rest = np.ones(len(self.names))
+        rest[self.asked] = told_rest
+        leaves = rest < 1
+        at = np.flatnonzero(self.context >= 0)
+        at = at[leaves[self.context[at]]]
+        self.p[at] *= rest[self.context[at]]
+        self.used[at] = True
+        seen = self.where[leaves[self.context[self.where]]]
+        total = (told >> 1)[self.place[leaves[self.context[self.where]]]]
+        self.p[seen] += np.maximum(total - DISCOUNT, 0) / self.totals[self.context[seen]]
+        self.at = np.full(len(self.word), -1, np.int32)
+        self.at[self.where] = np.where(told > 0, np.arange(len(told), dtype=np.int32), np.int32(-1))[self.place]
+        self.names, self.totals = self.longer, told >> 1
+        del self.context, self.where, self.place, self.longer
+
+
+def _replayed(rows: pa.Table, told: pa.Table, n: int, v: int, least: int, levels: int) -> _Tokens:
+    own = _Tokens(rows, told, n, v, least)
+    for level in range(1, levels + 1):
+        own.find()
+        own.take(own.answers(level, 1, np.int64), own.answers(level, 2, np.float64))
+    return own
+
+
+def _decided(rows: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, what each leaves to its suffix: 1 if it isn't retained) of a range of contexts,
+    given each sequence of a context and a next word once."""
+    context, seen, size, parent = (np.concatenate([B.expand(x, k, k is U64) for x in rows[c].to_pylist()]) for c, k in (("contexts", U64), ("totals", np.int64), ("sizes", np.int64), ("parents", np.float64)))
+    if not len(context):
+        return context, np.ones(0)
+    order = np.lexsort((parent, seen, context))
+    context, seen, size, parent = context[order], seen[order].astype(float), size[order].astype(float), parent[order]
+    names, first, at = np.unique(context, return_index=True, return_inverse=True)
+    size, m = size[first], len(names)
+    share = np.maximum(seen - DISCOUNT, 0) / size[at]
+    explicit, known = np.bincount(at, share, m), np.bincount(at, parent, m)
+    gain = np.bincount(at, seen * np.log2(np.maximum(share + (1 - explicit[at]) * parent, 1e-300) / parent), m)
+    left, other = size - np.bincount(at, seen, m), np.maximum(1 - known, 1e-9)
+    gain += np.where(left > 0, left * np.log2(np.maximum((1 - explicit) * other, 1e-300) / other), 0)
+    price = 0.5 * np.log2(max(2, n)) * np.bincount(at, minlength=m)
+    return names, np.where(gain > price, 1 - explicit, 1.0)
+
+
+def train(blocks: DataFrame, buckets: int, depth: int = DEPTH, least: int = LEAST):
+    """(training tokens, distinct words, answers to the blocks: totals of words at level 0; for each
+    length of contexts the totals of sequences, with a bit for the block that sends them on, and
+    what the contexts leave)."""
     n = blocks.agg(F.sum("n_train")).first()[0] or 0
-    floor = max(least, p_min * n)
     shift = U64(64 - (buckets.bit_length() - 1))
+    part = lambda keys: (keys >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
 
     def count_words(batches):
         for block, ids, known, keys, at, first in _each(batches):
             mask = np.repeat(_folds(ids, known)[1], np.diff(first))
             counts = np.bincount(at[mask], minlength=len(keys))
-            yield _ranges(keys, counts, (keys >> shift).astype(np.int64), buckets, block)
+            yield _ranges(keys, counts, part(keys), buckets, block)
 
     def total_words(rows: pa.Table) -> pa.Table:
-        keys, total, where = _totals(rows)
-        big = total >= floor
-        out = [*rows["block"].to_pylist(), -1], [*([rows["bucket"][0].as_py()] * (rows.num_rows + 1))], [*(B.squeeze(total[w]) for w in where), B.squeeze(total[big])], [*([b""] * rows.num_rows), B.squeeze(keys[big], True)], [*([0] * rows.num_rows), int((total > 0).sum())]
-        return B.batch(["block", "bucket", "totals", "keys", "distinct"], out, [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()])
+        _, total, where = _totals(rows)
+        out = [0] * rows.num_rows, [0] * rows.num_rows, rows["block"].to_pylist(), rows["bucket"].to_pylist(), [B.squeeze(total[w]) for w in where], [int((total > 0).sum()), *[0] * (rows.num_rows - 1)]
+        return B.batch(["level", "step", "block", "bucket", "body", "distinct"], out, [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64()])
 
-    words = blocks.mapInArrow(count_words, _SENT).groupBy("bucket").applyInArrow(total_words, "block long, bucket int, totals binary, keys binary, distinct long").checkpoint()
+    words = blocks.mapInArrow(count_words, _SENT).groupBy("bucket").applyInArrow(total_words, f"{_TOLD}, distinct long").checkpoint()
     v = words.agg(F.sum("distinct")).first()[0] or 0
-    found = [(B.expand(r["keys"], U64, True), B.expand(r["totals"], np.int64)) for r in words.where("block = -1").select("keys", "totals").toLocalIterator()]
-    keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, U64)
-    totals = np.concatenate([t for _, t in found]) if found else np.zeros(0, np.int64)
-    order = np.argsort(keys)
-    tree = Tree(keys[order], totals[order], n, v)
-    context = blocks.sparkSession.sparkContext
-    for _ in range(depth):
-        if not len(tree.counts[-1]):
-            break
-        shared = context.broadcast(tree)
-
-        def count_next(batches, shared=shared):
-            own = shared.value
-            for block, ids, known, keys, at, first in _each(batches):
-                index = own.indices(_index(own.words, keys)[at], first)
-                trains = np.repeat(_folds(ids, known)[1], np.diff(first))
-                start = np.zeros(len(at), bool)
-                start[first[:-1]] = True
-                ok = np.concatenate(([False], index[-1][:-1] >= 0)) & (index[0] >= 0) & trains & ~start
-                at = np.flatnonzero(ok)
-                codes, counts = np.unique(index[-1][at - 1] * len(own.words) + index[0][at], return_counts=True)
-                codes = codes.astype(U64)
-                yield _ranges(codes, counts, (T.mix(codes) >> shift).astype(np.int64), buckets, block)
+    answers, texts = words.drop("distinct"), blocks.drop("n_train")
+
+    def tell(level, step, rows, bodies):
+        return B.batch(["level", "step", "block", "bucket", "body"], [[level] * rows.num_rows, [step] * rows.num_rows, rows["block"].to_pylist(), rows["bucket"].to_pylist(), bodies], [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()])
+
+    def steps(level):
+
+        def count_next(rows: pa.Table, told: pa.Table) -> pa.Table:
+            own = _replayed(rows, told, n, v, least, level - 1)
+            own.find()
+            return pa.Table.from_batches([_ranges(own.longer, own.seen(), part(own.longer), buckets, rows["block"][0].as_py())])
 
         def total_next(rows: pa.Table) -> pa.Table:
-            codes, total, _ = _totals(rows)
-            big = total >= floor
-            return B.batch(["keys", "totals"], [[B.squeeze(codes[big], True)], [B.squeeze(total[big])]], [pa.binary(), pa.binary()])
-
-        rows = blocks.mapInArrow(count_next, _SENT).groupBy("bucket").applyInArrow(total_next, "keys binary, totals binary").toLocalIterator()
-        found = [(B.expand(r[0], U64, True).astype(np.int64), B.expand(r[1], np.int64)) for r in rows]
-        codes = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.int64)
-        totals = np.concatenate([t for _, t in found]) if found else np.zeros(0, np.int64)
-        order = np.argsort(codes)
-        tree.codes.append(codes[order])
-        tree.counts.append(totals[order])
-        shared.unpersist()
-    tree.build()
-    return tree, words.where("block >= 0").select("block", "bucket", "totals")
-
-
-def scores(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, least: int = LEAST) -> DataFrame:
+            rows = rows.sort_by("block")
+            _, total, where = _totals(rows)
+            new = np.ones(len(total), bool)
+            bodies = []
+            for w in where:
+                bodies.append(B.squeeze(np.where(total[w] >= least, total[w] * 2 + new[w], 0)))
+                new[w] = False
+            return tell(level, 1, rows, bodies)
+
+        def send_next(rows: pa.Table, told: pa.Table) -> pa.Table:
+            own = _replayed(rows, told, n, v, least, level - 1)
+            own.find()
+            sent = own.owned(own.answers(level, 1, np.int64))
+            asks = own.names[own.asked]
+            cuts, asked_cuts = (np.searchsorted(part(x), np.arange(buckets + 1)) for x in (sent[0], asks))
+            # A context that is sent is one that is asked for.
+            ranges = np.flatnonzero(asked_cuts[1:] > asked_cuts[:-1]).tolist()
+            bodies = [[B.squeeze(x[c[r] : c[r + 1]], x.dtype == U64) for r in ranges] for x, c in ((asks, asked_cuts), *((x, cuts) for x in sent))]
+            return B.batch(["bucket", "block", "asks", "contexts", "totals", "sizes", "parents"], [ranges, [rows["block"][0].as_py()] * len(ranges), *bodies], [pa.int32(), pa.int64(), *[pa.binary()] * 5])
+
+        def decide(rows: pa.Table) -> pa.Table:
+            names, rest = _decided(rows, n)
+            bodies = []
+            for asks in rows["asks"].to_pylist():
+                at = _index(names, B.expand(asks, U64, True))
+                bodies.append(B.squeeze(np.where(at >= 0, rest[at] if len(rest) else 1.0, 1.0)))
+            return tell(level, 2, rows, bodies)
+
+        return (count_next, _SENT, total_next), (send_next, _SENT_ON, decide)
+
+    conf, kept = blocks.sparkSession.conf, blocks.sparkSession.conf.get(FREED, None)
+    # Each step ends in a checkpoint, so what it shuffled needn't stay on the disks.
+    conf.set(FREED, "true")
+    try:
+        for level in range(1, depth + 1):
+            for asking, asked, answering in steps(level):
+                requests = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(asking, asked)
+                answers = answers.union(requests.groupBy("bucket").applyInArrow(answering, _TOLD).checkpoint())
+    finally:
+        conf.unset(FREED) if kept is None else conf.set(FREED, kept)
+    return n, v, answers
+
+
+def scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """One row for each row of docs, as SCHEMA."""
     blocks = packed(docs)
-    buckets = B.count_for(docs)
-    tree, answers = train(blocks, buckets, depth, p_min, least)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    n, v, answers = train(blocks, B.count_for(docs), depth, least)
 
     def score(rows: pa.Table, told: pa.Table) -> pa.Table:
-        own = shared.value
-        ids, known, keys, at, first = _unpacked(rows)
-        order = np.argsort(told["bucket"].to_numpy())
-        parts = told["totals"].to_pylist()
-        count = np.concatenate([B.expand(parts[i], np.int64) for i in order])[at]
-        base, model, used = own.log10(_index(own.words, keys)[at], first, count)
-        edges = np.cumsum(np.stack([count > 0, used]), axis=1)
-        known_n, used_n = (np.diff(np.concatenate(([0], e))[first]) for e in edges)
-        heads = first[:-1]
-        return pa.table({"doc_id": pa.array(ids, mask=~known), "held_out": _folds(ids, known)[0], "n_tokens": np.diff(first), "n_known": known_n, "train_tokens": np.full(len(ids), own.n, np.int64), "base_score": np.add.reduceat(base, heads), "score": np.add.reduceat(model, heads), "n_in_context": used_n})
+        own = _replayed(rows, told, n, v, least, depth)
+        heads = own.first[:-1]
+        known_n, used_n = (np.add.reduceat(x, heads, dtype=np.int64) for x in ((own.counts > 0)[own.word], own.used))
+        return pa.table({"doc_id": pa.array(own.ids, mask=~own.known), "held_out": _folds(own.ids, own.known)[0], "n_tokens": np.diff(own.first), "n_known": known_n, "train_tokens": np.full(len(own.ids), n, np.int64), "base_score": np.add.reduceat(np.log10(own.base)[own.word], heads), "score": np.add.reduceat(np.log10(own.p), heads), "n_in_context": used_n})
 
     return blocks.drop("n_train").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCHEMA)
 

@@ -1,6 +1,7 @@
 """Operators of the llm folder against brute force, libraries, SQL and odd inputs."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -125,6 +126,42 @@ def test_language_model_probabilities_sum_to_one():
     assert rng
 
 
+def test_language_model_keeps_rare_contexts_of_large_corpora(spark):
+    ids = iter(range(10_000))
+    held = lambda i: zlib.crc32(str(i).encode()) % suffix_tree.FOLDS == 0
+    train = [i for i in itertools.islice(ids, 60) if not held(i)]
+    asked = next(i for i in ids if held(i))
+    rows = [(i, "x " * 200_000) for i in train[:45]] + [(i, "rare pair") for i in train[45:49]] + [(asked, "rare pair")]
+    r = suffix_tree.scores(spark.createDataFrame(rows, "doc_id long, text string")).where(f"doc_id = {asked}").first()
+    assert r["train_tokens"] > 9_000_000
+    assert r["n_in_context"] == 2 and r["score"] > r["base_score"] / 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_language_model_is_the_tree_of_all_counts(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, " ".join(rng.choice("aabcdefgh") if rng.random() < 0.5 else "p q r s t" for _ in range(rng.randrange(30)))) for i in range(300)]
+    held = lambda i: zlib.crc32(str(i).encode()) % suffix_tree.FOLDS == 0
+    tokens = {i: [*t.split(), "END"] for i, t in rows}
+    grams = [Counter(tuple(t[j : j + k]) for i, t in tokens.items() if not held(i) for j in range(len(t) - k + 1)) for k in (1, 2, 3, 4)]
+    n = sum(grams[0].values())
+    names = sorted(w for (w,), c in grams[0].items() if c >= 4)
+    tree = suffix_tree.Tree(np.arange(len(names), dtype=np.uint64), np.array([grams[0][w,] for w in names]), n, len(grams[0]))
+    place = {(w,): k for k, w in enumerate(names)}
+    for g in grams[1:]:
+        found = sorted((place[x[:-1]] * len(names) + place[x[-1:]], x) for x, c in g.items() if c >= 4)
+        tree.codes.append(np.array([c for c, _ in found], np.int64))
+        tree.counts.append(np.array([g[x] for _, x in found], np.int64))
+        place |= {x: k for k, (_, x) in enumerate(found)}
+    tree.build()
+    got = {r["doc_id"]: r for r in suffix_tree.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in tokens.items():
+        index = np.array([place.get((w,), -1) for w in t])
+        _, model, used = tree.log10(index, np.array([0, len(t)]), np.array([grams[0][w,] for w in t]))
+        assert got[i]["score"] == pytest.approx(model.sum()) and got[i]["n_in_context"] == used.sum()
+    assert sum(r["n_in_context"] for r in got.values()) > 1000
+
+
 def test_language_model_beats_base_on_held_out_rows(spark):
     r = suffix_tree.op2_language_model(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
