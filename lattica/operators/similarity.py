@@ -27,10 +27,20 @@ def shingles(docs: DataFrame, k: int = 3) -> DataFrame:
     return d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.array_join(F.slice("w", i + 1, k), " ")))).alias("shingle"))
 
 
+def jaccard_classes(docs: DataFrame, k: int = 3) -> DataFrame:
+    """doc_id, representative: the smallest doc_id with the same shingle set (Jaccard 1), for every
+    text that has shingles. Pairs of all documents are the pairs of representatives, expanded by
+    this, and those inside a class."""
+    sets = shingles(docs, k).groupBy("doc_id").agg(F.sort_array(F.collect_set("shingle")).alias("set"))
+    # Joined on the sets' own values: a hash of a set alone could unite two classes.
+    return sets.join(sets.groupBy("set").agg(F.min("doc_id").alias("representative")), "set").select("doc_id", "representative")
+
+
 def jaccard_pairs(docs: DataFrame, least: float = 0.7, k: int = 3) -> DataFrame:
     """a < b, jaccard of all pairs at or above `least`, by prefix filtering: with shingles ordered
     from rare to common, similar sets share one among their first size - ceil(least * size) + 1.
-    Texts with equal shingle sets are compared once and expanded as pairs of their class' first."""
+    Texts with equal shingle sets are compared once, as the first of their class; `jaccard_classes`
+    has the others."""
     s = shingles(docs, k)
     sets = s.groupBy("doc_id").agg(F.sort_array(F.collect_set("shingle")).alias("set"))
     groups = sets.groupBy("set").agg(F.min("doc_id").alias("rep"))
@@ -68,7 +78,7 @@ def _bands(hashes: int = HASHES, bands: int = BANDS, seed: int = 17):
 
 
 def minhash_pairs(docs: DataFrame, least: float = 0.7, k: int = 3) -> DataFrame:
-    """The same pairs with candidates from MinHash bands (BANDS of HASHES / BANDS rows), verified
+    """The same pairs (of representatives, see `jaccard_classes`) with candidates from MinHash bands (BANDS of HASHES / BANDS rows), verified
     exactly. Signatures are minima of universal hashes (a * h + b, a odd, modulo 2^64)."""
     s = shingles(docs, k)
     sets = s.groupBy("doc_id").agg(F.sort_array(F.collect_set("shingle")).alias("set"))

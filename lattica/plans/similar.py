@@ -27,6 +27,13 @@ def jaccard_pairs(spark, sf_dir):
     return rounded(S.jaccard_pairs(P.table(spark, sf_dir, "documents")), "jaccard")
 
 
+@query(r"""WITH s AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(text), '\s+') IF x <> ''] AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct([array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)])) AS g FROM s WHERE len(w) >= 3)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS representative FROM g""")
+def jaccard_classes(spark, sf_dir):
+    return S.jaccard_classes(P.table(spark, sf_dir, "documents"))
+
+
 @query()
 def minhash_lsh_pairs(spark, sf_dir):
     return rounded(S.minhash_pairs(P.table(spark, sf_dir, "documents")), "jaccard")
