@@ -136,7 +136,7 @@ def import_cycles(spark, sf_dir):
 
 @query(f"{WITH}, early AS (SELECT src, dst FROM sparse WHERE (src + dst) % 2 = 0), {_cycles_sql('early')}")
 def call_cycles(spark, sf_dir):
-    return G.cycles(P.sparse_calls(spark, sf_dir).where("(src + dst) % 2 = 0")).select("component", "size", "members")
+    return G.cycles(P.sparse_calls(spark, sf_dir)).select("component", "size", "members")
 
 
 UNDIRECTED = "und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM imports), ids AS (SELECT a AS id FROM und UNION SELECT b FROM und), two AS (SELECT a, b FROM und UNION ALL SELECT b, a FROM und)"
@@ -147,14 +147,14 @@ start AS (SELECT cut.id AS cut, min(t.b) AS s FROM ids cut JOIN two t ON t.a = c
 walk AS (SELECT cut, s AS v FROM start UNION SELECT cut, b FROM walk JOIN two ON a = v WHERE b <> cut)
 SELECT DISTINCT t.a AS id FROM two t LEFT JOIN walk w ON w.cut = t.a AND w.v = t.b WHERE w.v IS NULL""")
 def articulation_points(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in K.cuts(K.edge_list(P.imports(spark, sf_dir)))[0]], "id long")
+    return spark.createDataFrame([(x,) for x in K.cuts(K.edge_list(P.sparse_calls(spark, sf_dir)))[0]], "id long")
 
 
 @query(f"""WITH RECURSIVE {P.IMPORTS}, {UNDIRECTED},
 walk AS (SELECT a AS x, b AS y, a AS v FROM und UNION SELECT x, y, b FROM walk JOIN two ON a = v WHERE NOT (a = x AND b = y) AND NOT (a = y AND b = x))
 SELECT a, b FROM und LEFT JOIN walk ON x = a AND y = b AND v = b WHERE v IS NULL""")
 def bridges(spark, sf_dir):
-    return spark.createDataFrame(K.cuts(K.edge_list(P.imports(spark, sf_dir)))[1], "a long, b long")
+    return spark.createDataFrame(K.cuts(K.edge_list(P.sparse_calls(spark, sf_dir)))[1], "a long, b long")
 
 
 @query(f"""WITH RECURSIVE {P.IMPORTS}, roots AS (SELECT DISTINCT src AS id FROM imports WHERE src NOT IN (SELECT dst FROM imports) UNION SELECT min(src) FROM imports),
@@ -164,7 +164,7 @@ dom AS (SELECT c.id AS d, l.id AS v FROM live c, live l WHERE c.id <> l.id AND N
 ranked AS (SELECT v, d, (SELECT count(*) FROM dom o WHERE o.v = dom.d) AS deep FROM dom)
 SELECT l.id, coalesce(max_by(d, deep), -1) AS idom FROM live l LEFT JOIN ranked ON v = l.id GROUP BY l.id""")
 def dominators(spark, sf_dir):
-    edges = K.edge_list(P.imports(spark, sf_dir))
+    edges = K.edge_list(P.sparse_calls(spark, sf_dir))
     ends = {b for _, b in edges}
     roots = [a for a, _ in edges if a not in ends] + ([min(a for a, _ in edges)] if edges else [])
     return spark.createDataFrame(sorted(K.dominators(edges, roots).items()), "id long, idom long")

@@ -38,3 +38,57 @@ def test_no_document_of_a_pair_is_lost(spark):
     for x, y in linked:
         got |= {(min(a, b), max(a, b)) for a in members[x] for b in members[y] if a != b}
     assert got == want
+
+
+def edges_of(df):
+    return sorted((r["src"], r["dst"]) for r in df.select("src", "dst").collect())
+
+
+def reached(edges, sources, without=None):
+    after, seen = {}, {s for s in sources if s != without}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    todo = list(seen)
+    while todo:
+        for b in after.get(todo.pop(), ()):
+            if b not in seen and b != without:
+                seen.add(b)
+                todo.append(b)
+    return seen
+
+
+@pytest.mark.parametrize("name,table", [("call_cycles", "sparse_calls"), ("import_cycles", "imports")])
+def test_cycles_of_all_edges(spark, name, table):
+    edges = edges_of(getattr(P, table)(spark, SF))
+    reach = {a: reached(edges, [a]) for a in {x for e in edges for x in e}}
+    groups = {tuple(sorted(b for b in reach[a] if a in reach[b])) for a in reach}
+    want = sorted((g[0], len(g), ",".join(map(str, g))) for g in groups if len(g) > 1)
+    assert want and sorted(tuple(r) for r in run(spark, name).collect()) == want
+
+
+def test_imports_are_all_edges(spark, duck):
+    want = duck.execute("SELECT DISTINCT s_nationkey, c_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey").fetchall()
+    assert edges_of(P.imports(spark, SF)) == sorted(want)
+
+
+def test_cuts_of_the_sparse_graph(spark):
+    edges = edges_of(P.sparse_calls(spark, SF))
+    both = sorted({*edges, *((b, a) for a, b in edges)})
+    near = {}
+    for a, b in both:
+        near.setdefault(a, []).append(b)
+    points = [n for n, ends in near.items() if not set(ends) <= reached(both, ends[:1], without=n)]
+    cut = [(a, b) for a, b in {(min(e), max(e)) for e in edges} if b not in reached([e for e in both if set(e) != {a, b}], [a])]
+    assert points and sorted(r["id"] for r in run(spark, "articulation_points").collect()) == sorted(points)
+    assert cut and sorted((r["a"], r["b"]) for r in run(spark, "bridges").collect()) == sorted(cut)
+
+
+def test_dominators_of_the_sparse_graph(spark):
+    edges = edges_of(P.sparse_calls(spark, SF))
+    roots = {a for a, _ in edges} - {b for _, b in edges} | {edges[0][0]}
+    live = reached(edges, roots)
+    under = {c: live - reached(edges, roots, without=c) - {c} for c in live}
+    above = {v: [c for c in live if v in under[c]] for v in live}
+    want = {v: max(above[v], key=lambda c: len(above[c])) if above[v] else -1 for v in live}
+    got = {r["id"]: r["idom"] for r in run(spark, "dominators").collect()}
+    assert {k: v for k, v in got.items() if k != -1} == want
