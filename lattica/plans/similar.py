@@ -46,7 +46,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1
 
 def _sides(spark, sf_dir):
     e = P.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return e.where("vec_id % 50 = 0"), e
+    return e.where("vec_id % 20 = 0"), e
 
 
 @query(f"WITH {COSINE} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM t WHERE rank <= 10")

@@ -92,3 +92,10 @@ def test_dominators_of_the_sparse_graph(spark):
     want = {v: max(above[v], key=lambda c: len(above[c])) if above[v] else -1 for v in live}
     got = {r["id"]: r["idom"] for r in run(spark, "dominators").collect()}
     assert {k: v for k, v in got.items() if k != -1} == want
+
+
+@pytest.mark.parametrize("name", ["knn_exact", "knn_anomaly", "knn_quantized"])
+def test_all_asked_vectors_are_answered(spark, name):
+    asked = {r[0] for r in P.table(spark, SF, "embeddings").where("vec_id % 20 = 0").select("vec_id").collect()}
+    got = Counter(r["query_id"] for r in run(spark, name).collect())
+    assert set(got) == asked and set(got.values()) == {1 if name == "knn_anomaly" else 10}
