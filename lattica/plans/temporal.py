@@ -25,7 +25,7 @@ def _spark(spark, sf_dir, key="part", most=30):
 
 @query(f"{_counted(most=5)} SELECT a, b, round(weight, 6) AS weight, n FROM pairs WHERE weight >= 0.3")
 def co_change(spark, sf_dir):
-    return rounded(T.pairs(_spark(spark, sf_dir, most=5), 0.3), "weight")
+    return rounded(T.pairs(_spark(spark, sf_dir), 0.3), "weight")
 
 
 @query(f"{_counted('brand')} SELECT a, b, round(p.weight, 6) AS weight, p.n, round(least(p.n / x.n, p.n / y.n), 6) AS confidence FROM pairs p JOIN totals x ON a = x.file JOIN totals y ON b = y.file WHERE p.weight >= 0.5")

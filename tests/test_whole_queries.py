@@ -99,3 +99,9 @@ def test_all_asked_vectors_are_answered(spark, name):
     asked = {r[0] for r in P.table(spark, SF, "embeddings").where("vec_id % 20 = 0").select("vec_id").collect()}
     got = Counter(r["query_id"] for r in run(spark, name).collect())
     assert set(got) == asked and set(got.values()) == {1 if name == "knn_anomaly" else 10}
+
+
+def test_co_change_takes_commits_of_up_to_30_files(spark, duck):
+    r = duck.execute(f"{temporal._counted()} SELECT a, b, round(weight, 6) AS weight, n FROM pairs WHERE weight >= 0.3")
+    df = run(spark, "co_change")
+    assert comparable(df.columns, df.collect()) == comparable([d[0] for d in r.description], r.fetchall())
