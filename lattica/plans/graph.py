@@ -211,7 +211,7 @@ UNION ALL SELECT list_append(path, dst), dst, sanitized OR dst % 5 = 0, dst % 37
 SELECT path[1] AS source, v AS sink, (len(path) - 1)::BIGINT AS hops, sanitized FROM t WHERE sink AND len(path) > 1""")
 def taint_paths(spark, sf_dir):
     n = P.nodes(spark, sf_dir)
-    return G.taint_paths(P.sparse_calls(spark, sf_dir), n.where("id % 41 = 0"), n.where("id % 37 = 0"), n.where("id % 5 = 0"), 6)
+    return G.taint_paths(P.sparse_calls(spark, sf_dir), n.where("id % 41 = 0"), n.where("id % 37 = 0"), n.where("id % 5 = 0"), 10)
 
 
 @query()

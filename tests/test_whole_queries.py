@@ -105,3 +105,24 @@ def test_co_change_takes_commits_of_up_to_30_files(spark, duck):
     r = duck.execute(f"{temporal._counted()} SELECT a, b, round(weight, 6) AS weight, n FROM pairs WHERE weight >= 0.3")
     df = run(spark, "co_change")
     assert comparable(df.columns, df.collect()) == comparable([d[0] for d in r.description], r.fetchall())
+
+
+def test_taint_paths_of_ten_calls(spark):
+    after = {}
+    for a, b in edges_of(P.sparse_calls(spark, SF)):
+        after.setdefault(a, []).append(b)
+    want = []
+
+    def follow(path, sanitized):
+        for v in after.get(path[-1], ()) if len(path) <= 10 else ():
+            if v not in path:
+                clean = sanitized or v % 5 == 0
+                if v % 37 == 0:
+                    want.append((path[0], v, len(path), clean))
+                else:
+                    follow([*path, v], clean)
+
+    for r in P.nodes(spark, SF).where("id % 41 = 0").collect():
+        follow([r["id"]], False)
+    assert max(h for *_, h, _ in want) > 6
+    assert Counter(tuple(r) for r in run(spark, "taint_paths").collect()) == Counter(want)
