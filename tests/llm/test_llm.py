@@ -515,6 +515,21 @@ def test_nearest_odd_vectors(spark):
     assert nearest.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n,scale,seed", [(1000, 100, 0), (1000, 100, 1), (15, 1, 0), (2000, 1, 2)])
+def test_nearest_fills_all_rows_at_any_norm(spark, n, scale, seed):
+    x = np.random.default_rng(seed).normal(size=(n, 64)).astype(np.float32).astype(float)
+    x[7] *= scale
+    if n == 2000:  # norms over four orders of magnitude
+        x *= np.logspace(0, 4, n)[np.random.default_rng(seed).permutation(n), None]
+    ids = np.arange(n)
+    got = {}
+    for r in nearest.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {q: {i for _, i in s} for q, s in brute(ids, x, 20).items()}
+    assert {q: len(s) for q, s in got.items()} == {q: min(20, n - 1) for q in want}
+    assert sum(len(got[q] & s) for q, s in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
 # pipeline
 
 
