@@ -295,6 +295,14 @@ def test_alignment_is_the_longest_common_subsequence():
         assert licenses.align(a, b, 0, 99)[0] == n[12, 15]
 
 
+@pytest.mark.parametrize("name", ["MIT/line", "Apache-2.0/line", "CC-BY-NC-4.0/line", "GPL-3.0/line"])
+def test_licenses_of_one_changed_word(spark, name):
+    words = licenses.TEMPLATES[name].split()
+    texts = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(len(words)) if sum(map(str.isalnum, words[i])) == len(words[i].rstrip(".,"))]
+    df = spark.createDataFrame([(i, f"some words before {t} and after") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert texts and {r.doc_id for r in licenses.scan(df).collect() if r.license == name} == set(range(len(texts)))
+
+
 # 6
 
 
