@@ -3,22 +3,24 @@
 A pattern is a window of `window` consecutive words of a benchmark item, or all words of a
 shorter item. Patterns of one length are searched together: a table indexed by the hash of a
 block of words says how far the search may jump from there, entries with shift 0 lead to the
-patterns that end in that block, and their words are then compared directly.
+patterns that end in that block. Patterns whose fingerprints fit are then compared directly: each
+word of the text, byte by byte, with the pattern's word.
 
 The patterns of a search are bounded: items are dealt into parts of at most PART_WORDS words
 (and one item, should it be longer). Each part is one broadcast and one pass over the
 documents; with more than one part, what the passes find is united by document. One pass
-needs no shuffle.
+needs no shuffle. A worker builds the tables of a part once and keeps those of the last part.
 
 Nulls: a null text has no words. An item with a null item_id still hits words but isn't
 counted, and an item_id that occurs on several rows counts once. Empty benchmark: no hits.
 Each row of documents gives one row, repeated and null doc_ids included. Columns other than
-doc_id, item_id and text aren't read.
+doc_id, item_id and text aren't read; the filter hands them on, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,11 @@ _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
 
 class Search:
-    """Wu-Manber tables for patterns of one length, as rows of word fingerprints."""
+    """Wu-Manber tables for patterns of one length, as rows of places in a vocabulary."""
 
-    def __init__(self, patterns: np.ndarray):
+    def __init__(self, rows: np.ndarray, vocabulary: Vocabulary):
+        self.rows, self.vocabulary = rows, vocabulary
+        patterns = vocabulary.prints[rows]
         self.patterns, self.length = patterns, patterns.shape[1]
         self.block = min(2, self.length)
         spread = 1 << int(np.ceil(np.log2(max(1 << 12, 16 * patterns.size))))
@@ -56,8 +60,9 @@ class Search:
     def blocks(self, h: np.ndarray) -> np.ndarray:
         return T.mix(h[..., 0] * U64(0x9E3779B97F4A7C15) + h[..., 1]) if self.block == 2 else T.mix(h[..., 0])
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, pattern) of all occurrences in a run of words, edges of documents ignored."""
+    def find(self, h: np.ndarray, text: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, pattern) of all occurrences in a run of words, edges of documents ignored.
+        text: (lower-cased bytes, starts, ends) of the words."""
         n, m = len(h), self.length
         if n < m:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -81,31 +86,82 @@ class Search:
         same = np.ones(len(start), bool)
         for j in range(m):
             same[same] = h[start[same] + j] == self.patterns[pattern[same], j]
-        return start[same], pattern[same]
+        start, pattern = start[same], pattern[same]
+        if not len(start):
+            return start, pattern
+        # Windows overlap, so each word of the text is compared once with each word it stands for.
+        pair = (start[:, None] + np.arange(m)) * len(self.vocabulary.prints) + self.rows[pattern]
+        pairs, at = np.unique(pair, return_inverse=True)
+        equal = self.vocabulary.equal(pairs % len(self.vocabulary.prints), pairs // len(self.vocabulary.prints), *text)
+        whole = equal[at.reshape(pair.shape)].all(1)
+        return start[whole], pattern[whole]
+
+
+class Vocabulary:
+    """The distinct words of items: their bytes laid end to end and their fingerprints."""
+
+    def __init__(self, words: list[bytes], prints: list[int]):
+        self.prints = np.array(prints, U64)
+        self.data = np.frombuffer(b"".join(words), np.uint8)
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def equal(self, place: np.ndarray, word: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether words of a text are the words at these places, byte by byte."""
+        size = self.size[place]
+        out = ends[word] - starts[word] == size
+        pick = np.flatnonzero(out)
+        size = size[pick]
+        heads = np.cumsum(size) - size
+        inner = np.arange(size.sum()) - np.repeat(heads, size)
+        other = data[np.repeat(starts[word[pick]], size) + inner] != self.data[np.repeat(self.start[place[pick]], size) + inner]
+        if len(pick):
+            out[pick] = ~np.logical_or.reduceat(other, heads)
+        return out
 
 
 def _patterns(items: list[tuple], window: int):
     """Searches by length, with the items of each pattern."""
     texts = pa.array([t or "" for _, t in items], pa.string())
     data, offsets = T.text_buffers(texts)
-    _, _, first, (h,) = T.words(data, offsets, T.ALNUM, lower=True)
+    starts, ends, first, (h,) = T.words(data, offsets, T.ALNUM, lower=True)
+    raw, number, prints = T.lowered(data).tobytes(), {}, []
+    own = np.empty(len(h), np.int64)
+    for i, (a, z) in enumerate(zip(starts.tolist(), ends.tolist())):
+        word = raw[a:z]
+        if (at := number.get(word)) is None:
+            at = number[word] = len(prints)
+            prints.append(int(h[i]))
+        own[i] = at
+    vocabulary = Vocabulary(list(number), prints)
     by_length: dict[int, dict[bytes, set]] = {}
     for i, (item, _) in enumerate(items):
-        own = h[first[i] : first[i + 1]]
-        size = min(window, len(own))
-        for k in range(len(own) - size + 1 if size else 0):
-            by_length.setdefault(size, {}).setdefault(own[k : k + size].tobytes(), set()).add(item)
-    return [(Search(np.frombuffer(b"".join(found), U64).reshape(-1, size)), [sorted(x for x in s if x is not None) for s in found.values()]) for size, found in sorted(by_length.items())]
+        row = own[first[i] : first[i + 1]]
+        size = min(window, len(row))
+        for k in range(len(row) - size + 1 if size else 0):
+            by_length.setdefault(size, {}).setdefault(row[k : k + size].tobytes(), set()).add(item)
+    return [(Search(np.frombuffer(b"".join(found), np.int64).reshape(-1, size), vocabulary), [sorted(x for x in s if x is not None) for s in found.values()]) for size, found in sorted(by_length.items())]
+
+
+#: The tables that a worker built last: (name of the part and window, searches).
+_kept: list[tuple] = []
+
+
+def _tables(name: str, items, window: int):
+    if not _kept or _kept[0][0] != (name, window):
+        _kept[:] = [((name, window), _patterns(items.value, window))]
+    return _kept[0][1]
 
 
 def _scan(batch, searches, row):
     """Calls row(index, n_words, hit mask of its words, items) for each document."""
     data, offsets = T.text_buffers(batch.column(1))
     for lo, hi in T.slices(offsets):
-        _, _, first, (h,) = T.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], T.ALNUM, lower=True)
+        own = T.lowered(data[offsets[lo] : offsets[hi]])
+        starts, ends, first, (h,) = T.words(own, offsets[lo : hi + 1] - offsets[lo], T.ALNUM)
         hit, items = np.zeros(len(h), bool), {}
         for search, owners in searches:
-            start, pattern = search.find(h)
+            start, pattern = search.find(h, (own, starts, ends))
             doc = np.searchsorted(first, start, "right") - 1
             inside = start + search.length <= first[doc + 1] if len(doc) else np.zeros(0, bool)
             start, pattern, doc = start[inside], pattern[inside], doc[inside]
@@ -139,10 +195,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     spark = docs.sparkSession
     T.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = [spark.sparkContext.broadcast(items) for items in parts_of(benchmark, part_words)]
+    shared, name = [spark.sparkContext.broadcast(items) for items in parts_of(benchmark, part_words)], uuid.uuid4().hex
 
     def once(batches):
-        searches = _patterns(shared[0].value, window)
+        searches = _tables(name, shared[0], window)
         for batch in batches:
             rows = []
             _scan(batch, searches, lambda i, n, hit, items: rows.append(_verdict(n, int(hit.sum()), items)))
@@ -163,9 +219,11 @@ def _united(keyed: DataFrame, shared: list, window: int) -> DataFrame:
     """Verdicts over several parts, for each distinct (doc_id, row): rows are told apart by id and
     digest."""
 
+    name = uuid.uuid4().hex
+
     def part_pass(part):
         def run(batches):
-            searches = _patterns(shared[part].value, window)
+            searches = _tables(f"{name}-{part}", shared[part], window)
             for batch in batches:
                 rows = []
                 _scan(batch, searches, lambda i, n, hit, items: rows.append((n, np.packbits(hit).tobytes() if hit.any() else b"", sorted(items))))
@@ -195,28 +253,33 @@ def _united(keyed: DataFrame, shared: list, window: int) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """The rows of docs that aren't contaminated; in one pass if the benchmark is one part."""
+    """The rows of docs, with all their columns, that aren't contaminated. One pass without a shuffle if the
+    benchmark is one part. Null and empty texts stay, as do rows with null or repeated ids, each
+    judged by its own text; an empty benchmark leaves all rows."""
     spark = docs.sparkSession
     T.small_batches(spark)
-    shared = [spark.sparkContext.broadcast(items) for items in parts_of(benchmark, part_words)]
+    shared, name = [spark.sparkContext.broadcast(items) for items in parts_of(benchmark, part_words)], uuid.uuid4().hex
     if len(shared) > 1:
-        row = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-        keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
-        bad = _united(keyed, shared, window).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row"))
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (row == F.col("bad_row")), "left_anti")
+        keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_of(docs).alias("row"))
+        bad = _united(keyed, shared, window).where("contaminated").select("doc_id", "row")
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (row_of(docs) == bad["row"]), "left_anti")
     at = docs.columns.index("text")
 
     def run(batches):
-        searches = _patterns(shared[0].value, window)
+        searches = _tables(name, shared[0], window)
         for batch in batches:
             keep: list[bool] = []
             texts = pa.record_batch([batch.column(at), batch.column(at)], names=["doc_id", "text"])
-            _scan(texts, searches, lambda i, n, hit, items: keep.append(not _verdict(n, int(hit.sum()), ())[4]))
+            _scan(texts, searches, lambda i, n, hit, items: keep.append(not _verdict(len(hit), int(hit.sum()), ())[4]))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def row_of(docs: DataFrame):
+    return F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+
+
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontaminate(T.table(spark, sf_dir, "documents"), T.table(spark, sf_dir, "benchmark"))
 

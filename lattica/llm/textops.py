@@ -46,6 +46,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, all other bytes as they are."""
+    return _LOWER[data]
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the n+1 offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

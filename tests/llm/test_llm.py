@@ -449,12 +449,32 @@ def test_decontamination(spark, odd, empty, part_words):
     want = contaminated_by_brute_force(odd_rows(), items)
     assert rows_of(got, *decontamination.SCHEMA.replace(" long", "").replace(" string", "").replace(" boolean", "").split(", ")) == want
     kept = decontamination.without_contaminated(odd, bench, part_words=part_words)
-    assert kept.columns == odd.columns and kept.count() == sum(not x[-1] for x in want)
+    assert kept.columns == odd.columns and rows_of(kept, "doc_id") == sorted(((x[0],) for x in want if not x[-1]), key=repr)
+    clashing = odd.withColumnsRenamed({"lang": "bad_id", "keys": "bad_row", "block": "row"})
+    assert rows_of(decontamination.without_contaminated(clashing, bench, part_words=part_words), "doc_id") == rows_of(kept, "doc_id")
+    assert decontamination.without_contaminated(odd, bench.limit(0), part_words=part_words).count() == len(odd_rows())
     assert decontamination.decontaminate(empty, bench, part_words=part_words).count() == 0
     none = decontamination.decontaminate(odd, bench.limit(0), part_words=part_words)
     assert none.where("n_hit > 0 or contaminated").count() == 0 and none.count() == len(odd_rows())
 
 
+def test_words_are_compared_not_their_fingerprints(monkeypatch):
+    """With fingerprints of two values only equal words still count."""
+    words = textops.words
+
+    def coarse(*a, **k):
+        *rest, h = words(*a, **k)
+        return *rest, [x & np.uint64(1) for x in h]
+
+    monkeypatch.setattr(decontamination.T, "words", coarse)
+    items = [(1, "a b c"), (2, "d"), (3, "É"), (4, "the longer word")]
+    rows = [(1, "A b c a c b"), (2, "d e f"), (3, "é É"), (4, "the longest word"), (5, "")]
+    searches, got = decontamination._patterns(items, 13), []
+    batch = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    decontamination._scan(batch, searches, lambda i, n, hit, found: got.append((rows[i][0], *decontamination._verdict(n, int(hit.sum()), found))))
+    assert sorted(got, key=repr) == contaminated_by_brute_force(rows, items)
+
+
 # 9
 
 
