@@ -449,7 +449,7 @@ def test_decontamination(spark, odd, empty, part_words):
     want = contaminated_by_brute_force(odd_rows(), items)
     assert rows_of(got, *decontamination.SCHEMA.replace(" long", "").replace(" string", "").replace(" boolean", "").split(", ")) == want
     kept = decontamination.without_contaminated(odd, bench, part_words=part_words)
-    assert kept.columns == odd.columns and rows_of(kept, "doc_id") == sorted(((x[0],) for x in want if not x[-1]), key=repr)
+    assert kept.columns == odd.columns and rows_of(kept, "doc_id") == sorted(((x[0],) for x in want if not x[2]), key=repr)
     clashing = odd.withColumnsRenamed({"lang": "bad_id", "keys": "bad_row", "block": "row"})
     assert rows_of(decontamination.without_contaminated(clashing, bench, part_words=part_words), "doc_id") == rows_of(kept, "doc_id")
     assert decontamination.without_contaminated(odd, bench.limit(0), part_words=part_words).count() == len(odd_rows())
@@ -458,6 +458,21 @@ def test_decontamination(spark, odd, empty, part_words):
     assert none.where("n_hit > 0 or contaminated").count() == 0 and none.count() == len(odd_rows())
 
 
+def test_a_passage_in_a_long_document_is_dropped(spark):
+    rng = random.Random(4)
+    text = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    passage, rows = text(13), []
+    for i in range(20):
+        w = text(4000)
+        if i % 2:
+            w[100 * i : 100 * i] = passage
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    assert decontamination.decontaminate(docs, bench).where("contaminated").count() == 0
+    assert rows_of(decontamination.without_contaminated(docs, bench), "doc_id") == [(i,) for i in sorted(range(0, 20, 2), key=lambda i: repr((i,)))]
+
+
 def test_words_are_compared_not_their_fingerprints(monkeypatch):
     """With fingerprints of two values only equal words still count."""
     words = textops.words
