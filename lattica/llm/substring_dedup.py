@@ -13,15 +13,18 @@ its own anchor). Steps over blocks of documents:
 1. each block sends its distinct anchors with their smallest and largest document; an
    anchor seen in two documents goes back to the blocks that hold it;
 2. windows with such an anchor are sent under a 96-bit fingerprint of all their words, which
-   verifies the match; windows seen in two documents go back with their smallest document;
+   verifies the match; windows seen in two documents go back, under all 96 bits, with their
+   smallest document;
 3. words covered by a window that also starts in a smaller document are removed.
 
-Exact copies are found first by a digest of the text: all windows of a copy also start in the
-smallest document of its group, so only that one sends fingerprints. Step 1 pre-aggregates in
+Exact copies are found first by a digest of the text, and named by id and digest, as an id may
+stand on rows with other texts: all windows of a copy also start in the smallest document of its
+group, so only that one sends fingerprints. Step 1 pre-aggregates in
 each block, so a passage that a third of all documents share costs one entry a block.
 
 Nulls: a null text has no words; a row with a null doc_id comes after all others and is never
-a source. Equal ids never remove each other's words, so a repeated row changes nothing.
+a source. Equal ids never remove each other's words, so a repeated row changes nothing; rows of
+one id with other texts are each judged by their own text, and all are sources.
 An empty table gives an empty result. Columns other than doc_id and text aren't read.
 """
 
@@ -42,6 +45,9 @@ U64 = np.uint64
 WINDOW = 13
 #: Symbols in an anchor. One symbol alone may be a common word; three stand for four or five.
 GRAM = 3
+#: Shares that the rows of one digest are dealt into where they meet the smallest of their group.
+SALTS = 16
+_COPY = np.dtype([("id", "<i8"), ("digest", "S16")])
 
 
 def rounds_for(window: int) -> int:
@@ -130,7 +136,8 @@ def _send(keys, low, high, block, buckets, check=None):
 
 
 _SENT = "bucket int, source int, keys binary, low binary, high binary, check_bits binary"
-_BACK = "block int, keys binary, low binary, copies binary"
+_BACK = "block int, keys binary, low binary, check_bits binary, copies binary"
+_BACK_NAMES, _BACK_KINDS = ["block", "keys", "low", "check_bits", "copies"], [pa.int32(), *[pa.binary()] * 4]
 
 
 def _answer(rows: pa.Table) -> pa.Table:
@@ -151,23 +158,28 @@ def _answer(rows: pa.Table) -> pa.Table:
     least = np.minimum.reduceat(low[order], heads)[group]
     most = np.maximum.reduceat(high[order], heads)[group]
     shared = least < most
-    keys, least, owner = keys[order][shared], least[shared], owner[order][shared]
-    by = np.argsort(owner, kind="stable")
-    keys, least, owner = keys[by], least[by], owner[by]
-    cuts = np.searchsorted(owner, np.arange(len(parts) + 1))
-    out = [(parts[i][0], B.squeeze(keys[cuts[i] : cuts[i + 1]], True), B.squeeze(least[cuts[i] : cuts[i + 1]])) for i in range(len(parts)) if cuts[i] < cuts[i + 1]]
-    return B.batch(["block", "keys", "low", "copies"], [*(list(x) for x in (zip(*out) if out else ((), (), ()))), [b""] * len(out)], [pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+    order = order[shared]
+    by = np.argsort(owner[order], kind="stable")
+    order, least = order[by], least[shared][by]
+    cuts = np.searchsorted(owner[order], np.arange(len(parts) + 1))
+    out = []
+    for i, (a, z) in enumerate(zip(cuts, cuts[1:])):
+        if a < z:
+            out.append((parts[i][0], B.squeeze(keys[order[a:z]], True), B.squeeze(least[a:z]), b"" if parts[0][4] is None else B.squeeze(check[order[a:z]]), b""))
+    return B.batch(_BACK_NAMES, [list(x) for x in zip(*out)] if out else [[]] * 5, _BACK_KINDS)
 
 
 def _learned(rows: pa.Table):
-    """Answers to a block: keys in order with their smallest document, and its copies."""
+    """Answers to a block: keys in order with their check bits and smallest document, and its copies."""
     keys = [B.expand(x, U64, True) for x in rows["keys"].to_pylist() if x]
     low = [B.expand(x, np.int64) for x in rows["low"].to_pylist() if x]
-    copies = [np.frombuffer(x, np.int64) for x in rows["copies"].to_pylist() if x]
+    check = [B.expand(x, np.uint32) for x in rows["check_bits"].to_pylist() if x]
+    copies = [np.frombuffer(x, _COPY) for x in rows["copies"].to_pylist() if x]
     keys = np.concatenate(keys) if keys else np.zeros(0, U64)
     low = np.concatenate(low) if low else np.zeros(0, np.int64)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], low[order], np.unique(np.concatenate(copies)) if copies else np.zeros(0, np.int64)
+    check = np.concatenate(check) if check else np.zeros(len(keys), np.uint32)
+    order = np.lexsort((check, keys))
+    return keys[order], check[order], low[order], np.concatenate(copies) if copies else np.zeros(0, _COPY)
 
 
 def _found(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +189,34 @@ def _found(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at] == x, at
 
 
+def _checked(keys: np.ndarray, check: np.ndarray, x: np.ndarray, x_check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `_found`, of keys and check bits together: several may share a key."""
+    hit, at = _found(keys, x)
+    open_ = np.flatnonzero(hit)
+    hit[open_] = check[at[open_]] == x_check[open_]
+    open_ = open_[~hit[open_]]
+    while len(open_):
+        at[open_] += 1
+        open_ = open_[at[open_] < len(keys)]
+        open_ = open_[keys[at[open_]] == x[open_]]
+        hit[open_] = check[at[open_]] == x_check[open_]
+        open_ = open_[~hit[open_]]
+    return hit, at
+
+
+def _check_bits(h: np.ndarray, window: int, starts: np.ndarray) -> np.ndarray:
+    return (T.window_hash(h, window, 1)[starts] >> U64(32)).astype(np.uint32)
+
+
+def _is_copy(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Which rows are copies of a smaller document: both their id and their text are listed."""
+    out = np.zeros(len(ids), bool)
+    listed = set(zip(copies["id"].tolist(), (bytes(x).ljust(16, b"\0") for x in copies["digest"].tolist())))
+    for i in np.flatnonzero(np.isin(ids, copies["id"])) if len(copies) else ():
+        out[i] = (int(ids[i]), hashlib.md5(data[offsets[i] : offsets[i + 1]].tobytes()).digest()) in listed
+    return out
+
+
 def _pieces(ids, data, offsets, seeds=1):
     for lo, hi in T.slices(offsets):
         own, base = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
@@ -190,13 +230,16 @@ def removed_words(docs: DataFrame, window: int, finish, schema, extra: tuple[str
     count = B.count_for(docs)
     buckets = count
     packed = B.pack(docs, count, extra)
-    digest = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
-    firsts = digest.groupBy("digest").agg(F.min("doc_id").alias("source_id"), F.count("doc_id").alias("n")).where("n > 1")
-    copies = digest.join(firsts, "digest").where("doc_id > source_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("block"), "doc_id")
+    digest = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    firsts = digest.groupBy("digest").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id")).where("source_id < last_id")
+    firsts = firsts.select("digest", "source_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = digest.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(firsts, ["digest", "salt"]).where("doc_id > source_id")
+    copies = copies.select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("block"), "doc_id", "digest").distinct()
 
     def list_copies(rows: pa.Table) -> pa.Table:
-        ids = rows["doc_id"].to_numpy()
-        return B.batch(["block", "keys", "low", "copies"], [[rows["block"][0].as_py()], [b""], [b""], [ids.tobytes()]], [pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+        own = np.zeros(rows.num_rows, _COPY)
+        own["id"], own["digest"] = rows["doc_id"].to_numpy(), rows["digest"].to_pylist()
+        return B.batch(_BACK_NAMES, [[rows["block"][0].as_py()], [b""], [b""], [b""], [own.tobytes()]], _BACK_KINDS)
 
     copied = copies.groupBy("block").applyInArrow(list_copies, _BACK)
 
@@ -218,14 +261,15 @@ def removed_words(docs: DataFrame, window: int, finish, schema, extra: tuple[str
         if not rows.num_rows or not learned.num_rows:
             return _send(*_merge([], [], []), 0, buckets, np.zeros(0, np.uint32))
         ids, _, data, offsets = B.unpack(rows)
-        known_keys, _, own_copies = _learned(learned)
-        keys, low, high, check = [], [], [], []
+        known_keys, _, _, copies = _learned(learned)
+        again = _is_copy(ids, data, offsets, copies)
+        keys, low, check = [], [], []
         for lo, hi, _, _, _, _, first, h in _pieces(ids, data, offsets, seeds=2):
             starts, doc, anchor = anchors(h[0], first, window)
-            pick = _found(known_keys, anchor)[0] & ~np.isin(ids[lo:hi], own_copies)[doc]
+            pick = _found(known_keys, anchor)[0] & ~again[lo:hi][doc]
             starts, doc = starts[pick], doc[pick]
             keys.append(T.window_hash(h[0], window)[starts])
-            check.append((T.window_hash(h[1], window, 1)[starts] >> U64(32)).astype(np.uint32))
+            check.append(_check_bits(h[1], window, starts))
             low.append(ids[lo:hi][doc])
         keys, low, check = np.concatenate(keys), np.concatenate(low), np.concatenate(check)
         order = np.lexsort((check, keys))
@@ -238,17 +282,18 @@ def removed_words(docs: DataFrame, window: int, finish, schema, extra: tuple[str
     verdicts = sent.groupBy("bucket").applyInArrow(_answer, _BACK)
 
     def step3(rows: pa.Table, learned: pa.Table) -> pa.Table:
-        empty = pa.table({"keys": pa.array([], pa.binary()), "low": pa.array([], pa.binary()), "copies": pa.array([], pa.binary())})
+        empty = pa.table({c: pa.array([], pa.binary()) for c in _BACK_NAMES[1:]})
         ids, known, data, offsets = B.unpack(rows)
-        known_keys, least, own_copies = _learned(learned if learned.num_rows else empty)
+        known_keys, check, least, copies = _learned(learned if learned.num_rows else empty)
+        copy = _is_copy(ids, data, offsets, copies)
 
         def pieces():
-            for lo, hi, base, own, starts, ends, first, h in _pieces(ids, data, offsets):
+            for lo, hi, base, own, starts, ends, first, h in _pieces(ids, data, offsets, seeds=2):
                 at, doc = T.window_rows(first, window)
-                hit, where = _found(known_keys, T.window_hash(h[0], window)[at])
+                hit, where = _checked(known_keys, check, T.window_hash(h[0], window)[at], _check_bits(h[1], window, at))
                 again = np.zeros(len(at), bool)
                 again[hit] = least[where[hit]] < ids[lo:hi][doc[hit]]
-                again |= np.isin(ids[lo:hi], own_copies)[doc]
+                again |= copy[lo:hi][doc]
                 yield lo, hi, base, own, starts, ends, first, T.covered(at[again], window, len(starts))
 
         return finish(rows, ids, known, pieces())
