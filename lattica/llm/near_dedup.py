@@ -22,8 +22,9 @@ A pair of five-word Jaccard similarity 0.8 is missed as a candidate with probabi
 (1 - 0.8**PICK)**SKETCHES, about 1e-11, at 0.6 about 1e-3.
 
 Texts without words (null, empty) and rows with a null doc_id are nobody's duplicates; a null
-doc_id has a null class. Rows that repeat a doc_id are given one class each: equal texts the
-same, others each their own row with the class of its text. Short texts of fewer than WORDS
+doc_id has a null class. Rows that repeat a doc_id with the same text are one document; with
+other texts each is a document of its own, under a row key of id and text, and a class is named
+by the smallest doc_id of its rows. Short texts of fewer than WORDS
 words are one k-mer. Columns other than doc_id and text aren't read.
 """
 
@@ -298,11 +299,42 @@ def verify_apart(rest: DataFrame, apart: DataFrame, many: int, packed: DataFrame
     return given.groupBy("cell", "salt").applyInArrow(align, "a long, b long")
 
 
+def clashing_ids(docs: DataFrame) -> DataFrame | None:
+    """The ids that stand on rows with different texts, if there are any."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a != b").select(F.col("doc_id").alias("clash")).checkpoint()
+    return None if found.isEmpty() else found
+
+
+def _keyed(docs: DataFrame, clashing: DataFrame, key: str) -> DataFrame:
+    """docs with a row key: the id, or of ids that stand on different texts a fingerprint of both."""
+    own = F.xxhash64(docs["doc_id"].cast("long"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    return docs.join(clashing, docs["doc_id"] == clashing["clash"], "left").select(*(docs[c] for c in docs.columns), F.when(clashing["clash"].isNotNull(), own).otherwise(docs["doc_id"].cast("long")).alias(key))
+
+
+def _named(docs: DataFrame, clashing: DataFrame, least: float) -> DataFrame:
+    """key, doc_id, class_key, class_id, first (key and id of the row that stands for the class) of rows with an id."""
+    keyed = _keyed(docs, clashing, "key")
+    found = _classes(keyed.select(F.col("key").alias("doc_id"), "text"), least).select(F.col("doc_id").alias("key"), F.col("class_id").alias("class_key"))
+    rows = found.where("key is not null").join(keyed.where("key is not null").select("key", "doc_id").distinct(), "key")
+    first = rows.groupBy("class_key").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    return rows.join(first, "class_key").withColumn("class_id", F.col("first.doc_id"))
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) for each row of docs."""
-    spark = docs.sparkSession
-    B.checkpoints(spark)
+    B.checkpoints(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    clashing = clashing_ids(docs)
+    if clashing is None:
+        return _classes(docs, least)
+    nameless = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    return _named(docs, clashing, least).select("doc_id", "class_id").union(nameless)
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
+    """As `classes`, of rows that repeat an id only with the same text."""
+    spark = docs.sparkSession
     count = B.count_for(docs)
     marked = sketched(docs.where("doc_id is not null")).checkpoint()
     reps = marked.groupBy("digest").agg(F.min(F.struct("doc_id", "n_words", "marks", "places")).alias("r"))
@@ -354,12 +386,31 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that represent their class; of rows that repeat id and text, one."""
-    gone = classes(docs, least).where("class_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    known = kept.where("doc_id is not null").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
-    return known.union(docs.where("doc_id is null").select(*docs.columns))
+    """The rows of docs, with all their columns, that represent their class: its smallest doc_id. Of
+    rows that repeat id and text one stays, the least by its other columns. Rows with a null id and
+    texts without words stay (of the latter, repeated ones once); an empty table stays empty."""
+    B.checkpoints(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    clashing, key, nth = clashing_ids(texts), _free(docs, "key"), _free(docs, "nth")
+    known = docs.where(docs["doc_id"].isNotNull())
+    if clashing is None:
+        known = known.withColumn(key, F.col("doc_id").cast("long"))
+        gone = _classes(texts, least).where("class_id != doc_id").select(F.col("doc_id").alias(key)).distinct()
+    else:
+        known = _keyed(known, clashing, key)
+        gone = _named(texts, clashing, least).where("key != first.key").select(F.col("key").alias(key)).distinct()
+    # Maps have no order of their own.
+    others = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text")]
+    nth_row = F.row_number().over(Window.partitionBy("doc_id", F.md5(F.col("text").cast("binary"))).orderBy(*others or [F.lit(0)]))
+    known = known.join(gone, key, "left_anti").withColumn(nth, nth_row).where(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return known.union(docs.where(docs["doc_id"].isNull()))
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

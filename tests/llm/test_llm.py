@@ -245,6 +245,28 @@ def test_substring_dedup(spark, window):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == removed_by_brute_force(rows, window)
 
 
+def clashing_rows():
+    """Ids that stand on rows with different texts, among copies and near copies."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"c{rng.randrange(500)}" for _ in range(n))
+    a, b, c = text(40), text(40), text(30)
+    return [(i, t, "en", 7, "x") for i, t in [(1, a), (2, a), (2, b), (3, "x " + b), (3, "x " + b), (4, c), (4, None), (4, ""), (5, c + " y"), (6, b), (None, c), (7, a + " z"), (7, text(20))]]
+
+
+def test_substring_dedup_of_ids_with_several_texts(spark):
+    rows = clashing_rows()
+    got = substring_dedup.digests(spark.createDataFrame(rows, DOCS))
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == removed_by_brute_force(rows)
+
+
+def test_equal_keys_are_told_apart_by_check_bits():
+    u = lambda *x: np.array(x, np.uint64)
+    w = lambda *x: np.array(x, np.uint32)
+    hit, at = substring_dedup._checked(u(3, 5, 5, 5, 9), w(1, 2, 4, 6, 7), u(5, 5, 5, 5, 3, 9, 8), w(6, 2, 5, 9, 1, 8, 7))
+    assert hit.tolist() == [True, True, False, False, True, False, False] and at[:2].tolist() == [3, 1] and at[4] == 0
+    assert not substring_dedup._checked(u(), w(), u(1), w(1))[0].any()
+
+
 def test_without_repeats(spark, odd, empty):
     assert substring_dedup.digests(empty).count() == 0
     assert substring_dedup.without_repeats(empty).count() == 0
@@ -390,6 +412,31 @@ def test_near_dedup(spark, rows):
     assert rows_of(got, "doc_id", "class_id") == classes_by_brute_force(rows)
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    rows = clashing_rows()
+    docs = spark.createDataFrame(rows, DOCS)
+    words = [WORD.findall(t or "") for _, t, *_ in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            if rows[i][0] is not None and rows[j][0] is not None and words[i] and words[j] and near_dedup.similar(words[i], words[j]) or rows[i] == rows[j]:
+                group[i] = group[j] = min(group[i], group[j])
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in group}
+    assert rows_of(near_dedup.classes(docs), "doc_id", "class_id") == sorted(((r[0], least[g]) for r, g in zip(rows, group)), key=repr)
+    kept = near_dedup.without_duplicates(docs)
+    assert kept.where("doc_id is null").count() == 1
+    # One row of each class, with the class's smallest id; null and empty texts of an id are one.
+    named = {g for r, g in zip(rows, group) if r[0] is not None and WORD.findall(r[1] or "")}
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null and trim(text) != ''").collect()) == sorted(least[g] for g in named)
+
+
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 100, 5), (1, "a b c d e f", 40, 6), (2, "g h i j k l", 7, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _nth int, key long")
+    got = near_dedup.without_duplicates(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [rows[1], rows[2]]
+
+
 def test_near_dedup_filters(spark, odd, empty):
     assert near_dedup.classes(empty).count() == 0
     kept = near_dedup.without_duplicates(odd)
