@@ -99,7 +99,8 @@ def packed(docs: DataFrame) -> DataFrame:
 
     T.small_batches(docs.sparkSession)
     B.checkpoints(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BLOCK).checkpoint()
+    # No more tasks, and so files, than there are blocks of the operators that deal documents.
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).coalesce(B.count_for(docs)).mapInArrow(run, _BLOCK).checkpoint()
 
 
 def _ranges(keys, counts, part, buckets, block):
@@ -364,7 +365,7 @@ def train(blocks: DataFrame, buckets: int, depth: int = DEPTH, least: int = LEAS
         out = [0] * rows.num_rows, [0] * rows.num_rows, rows["block"].to_pylist(), rows["bucket"].to_pylist(), [B.squeeze(total[w]) for w in where], [int((total > 0).sum()), *[0] * (rows.num_rows - 1)]
         return B.batch(["level", "step", "block", "bucket", "body", "distinct"], out, [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64()])
 
-    words = blocks.mapInArrow(count_words, _SENT).groupBy("bucket").applyInArrow(total_words, f"{_TOLD}, distinct long").checkpoint()
+    words = blocks.mapInArrow(count_words, _SENT).groupBy("bucket").applyInArrow(total_words, f"{_TOLD}, distinct long").coalesce(buckets).checkpoint()
     v = words.agg(F.sum("distinct")).first()[0] or 0
     answers, texts = words.drop("distinct"), blocks.drop("n_train")
 
@@ -416,7 +417,7 @@ def train(blocks: DataFrame, buckets: int, depth: int = DEPTH, least: int = LEAS
         for level in range(1, depth + 1):
             for asking, asked, answering in steps(level):
                 requests = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(asking, asked)
-                answers = answers.union(requests.groupBy("bucket").applyInArrow(answering, _TOLD).checkpoint())
+                answers = answers.union(requests.groupBy("bucket").applyInArrow(answering, _TOLD).coalesce(buckets).checkpoint())
     finally:
         conf.unset(FREED) if kept is None else conf.set(FREED, kept)
     return n, v, answers
