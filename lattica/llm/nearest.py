@@ -12,12 +12,14 @@ and scored exactly, in double precision, on the original vectors.
 
 Vectors are dealt by their id into parts of about PART vectors, and queries into blocks; the
 tables of a part are built where it is scored, so no bucket is ever one task's burden and equal
-vectors are spread over all parts. A part returns each query's best in one packed row; where a
-query's buckets hold fewer than it has to return, all vectors of the part are its candidates, so
-each query gets BEST rows, or all there are.
-
-Every row is indexed; recall against brute force is measured in the tests (over 0.9 on the test
-tables). Vectors that are null, zero or hold null or non-finite components take no part, nor
+vectors are spread over all parts. Only candidates are scored: single precision finds those that
+can be among the best, double precision ranks them. A part returns each query's best in one packed
+row; where a query's buckets hold fewer than it has to return, all vectors of the part are its
+candidates, so each query gets BEST rows, or all there are.
+
+Every row is indexed; recall against brute force (over 0.9 on the test tables) and the share of
+pairs that are candidates (about a quarter of them, as the test vectors hardly cluster) are
+measured in the tests. Vectors that are null, zero or hold null or non-finite components take no part, nor
 do those of another length than most. Null ids take no part; rows that repeat an id are both
 candidates, and a query never gets its own id. Ties go to the smaller id. Columns other than
 vec_id and embedding aren't read.
@@ -35,9 +37,11 @@ from pyspark.sql import functions as F
 from . import textops as T
 
 BEST = 20
-TABLES, HASHES, WIDTH, PROBES = 16, 16, 3.4, 500
-#: Vectors of a part and queries of a block: their inner products fill 64 MB.
-PART, QUERY_BLOCK, REPLY = 16_384, 512, 128
+TABLES, HASHES, WIDTH, PROBES = 128, 32, 4.0, 500
+#: Vectors of a part and queries of a block: a mask of their pairs fills 16 MB.
+PART, QUERY_BLOCK, REPLY = 16_384, 1024, 128
+#: Bits of a slot that tells a bucket with vectors from one without before it is searched.
+SLOT = 20
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
@@ -64,26 +68,31 @@ def perturbations(hashes: int, probes: int) -> np.ndarray:
 
 
 class Tables:
-    """Hash functions, equal in every task for a seed."""
+    """Hash functions, equal in every task for a seed. A bucket's key is the sum of its cells, each
+    times a random integer small enough for the sum to be exact in double precision; buckets that
+    share a key share their vectors, which only adds candidates."""
 
     def __init__(self, size: int, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.size, self.width = size, width
         self.a = rng.normal(size=(tables, size, hashes))
         self.b = rng.uniform(0, width, (tables, 1, hashes))
-        self.m = rng.integers(1, 1 << 62, (tables, hashes)) | 1
-        self.sets = perturbations(hashes, probes)
+        self.m = rng.integers(1 << 30, 1 << 40, (tables, hashes)).astype(float)
+        self.sets = perturbations(hashes, probes).astype(float)
+
+    def cells(self, x: np.ndarray, table: int) -> np.ndarray:
+        return (x @ self.a[table] + self.b[table]) / self.width
 
     def keys(self, x: np.ndarray, table: int) -> np.ndarray:
-        return (np.floor((x @ self.a[table] + self.b[table]) / self.width).astype(np.int64) * self.m[table]).sum(1)
+        return (np.floor(self.cells(x, table)) @ self.m[table]).astype(np.int64)
 
     def probe_keys(self, q: np.ndarray, table: int) -> np.ndarray:
-        place = (q @ self.a[table] + self.b[table]) / self.width
+        place = self.cells(q, table)
         low = np.floor(place)
         gap = np.concatenate((place - low, 1 - place + low), 1)  # to the border below, above
         rank = np.argsort(gap, axis=1)
         step = np.concatenate((-self.m[table], self.m[table]))[rank]
-        return (low.astype(np.int64) * self.m[table]).sum(1)[:, None] + step @ self.sets.T
+        return ((low @ self.m[table])[:, None] + step @ self.sets.T).astype(np.int64)
 
 
 def sphere(x: np.ndarray, largest: float) -> np.ndarray:
@@ -110,18 +119,25 @@ def candidates(tables: Tables, x: np.ndarray, q: np.ndarray, largest: float) ->
         else:
             own = x[pick]
             spheres.append((pick, sphere(own, float(np.sqrt((own * own).sum(1)).max()))))
+    slots, flat = np.zeros(1 << SLOT, bool), mask.reshape(-1)
     for t in range(len(tables.a) if spheres else 0):
-        probe = tables.probe_keys(queries, t)
+        probe = tables.probe_keys(queries, t).ravel()
+        slot = probe & (len(slots) - 1)
         for pick, data in spheres:
             key = tables.keys(data, t)
+            own = key & (len(slots) - 1)
+            slots[own] = True
+            likely = np.flatnonzero(slots[slot])
+            slots[own] = False
             order = np.argsort(key, kind="stable")
             bucket, first, size = np.unique(key[order], return_index=True, return_counts=True)
-            at = np.minimum(np.searchsorted(bucket, probe), len(bucket) - 1)
-            row, col = np.nonzero(bucket[at] == probe)
-            hit = at[row, col]
+            wanted = probe[likely]
+            at = np.minimum(np.searchsorted(bucket, wanted), len(bucket) - 1)
+            found = bucket[at] == wanted
+            hit, row = at[found], likely[found] // len(tables.sets)
             many = size[hit]
             inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            mask[np.repeat(row, many), pick[order[np.repeat(first[hit], many) + inner]]] = True
+            flat[np.repeat(row * len(x), many) + pick[order[np.repeat(first[hit], many) + inner]]] = True
     return mask
 
 
@@ -180,19 +196,20 @@ def search(vectors: DataFrame, is_query, best: int = BEST, tables: dict | None =
             ids, x = load(data)
             qids, q = load(asked)
             hashes = Tables(dims + 1, **options)
+            mask = candidates(hashes, x, q, largest)
+            rough = (x / largest).astype(np.float32)
             for lo in range(0, len(qids), REPLY):
                 own, k = q[lo : lo + REPLY], qids[lo : lo + REPLY]
-                others = ids != k[:, None]
-                mask = candidates(hashes, x, own, largest) & others
-                few = mask.sum(1) < np.minimum(best, others.sum(1))
-                mask[few] = others[few]
-                rough = np.where(mask, own @ x.T, -np.inf)
                 found = [], [], []
                 for i in range(len(own)):
-                    r = rough[i]
-                    edge = np.partition(r, len(r) - best)[len(r) - best] if len(r) > best else -np.inf
-                    slack = 1e-9 * largest * float(np.sqrt((own[i] ** 2).sum()))
-                    near = np.flatnonzero((r >= edge - slack) & np.isfinite(r))
+                    others = ids != k[i]
+                    near = np.flatnonzero(mask[lo + i] & others)
+                    if len(near) < min(best, int(others.sum())):
+                        near = np.flatnonzero(others)
+                    if len(near) > best:
+                        r = rough[near] @ (own[i] / np.abs(own[i]).max()).astype(np.float32)
+                        edge = np.partition(r, len(r) - best)[len(r) - best]
+                        near = near[r >= edge - 1e-6 * dims]  # more than single precision may err here
                     a, s = best_of(ids[near], exact(x[near], own[i]), best)
                     found[0].append(np.full(len(a), i)), found[1].append(a), found[2].append(s)
                 a = [np.concatenate(y) for y in found]

@@ -589,6 +589,16 @@ def test_nearest_recall(spark, sf):
     assert all(r.score == float(nearest.exact(x[ids == r.vec_id][0], x[ids == r.query_id][0])) for r in got[:50])
 
 
+def test_nearest_scores_a_share_of_the_pairs(spark):
+    """The tables leave out most pairs of vectors that hardly cluster, at a recall over 0.9."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x = np.array(e["embedding"].tolist(), float)
+    x, q = x, x[::20]
+    mask = nearest.candidates(nearest.Tables(x.shape[1] + 1), x, q, float(np.sqrt((x * x).sum(1)).max()))
+    best = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, 1:21]
+    assert mask.mean() < 0.45 and np.take_along_axis(mask, best, 1).mean() >= 0.9
+
+
 def test_nearest_odd_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(v) for v in rng.normal(size=8)], 1) for i in range(1, 40)]
