@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Inner products become distances on a sphere: vectors are dealt into ranges of norms (factors of
-two below the largest), divided by the largest norm of their range and get one more coordinate
+Inner products become distances on a sphere: vectors are dealt into ranges of norms (RANGES to
+each factor of two below the largest), divided by the largest norm of their range and get one more coordinate
 that fills their norm up to 1; queries are scaled to norm 1. A range of no more vectors than a
 query has probes is taken whole. Each of TABLES
 hash tables has HASHES Gaussian projections cut into steps of WIDTH. A query visits its own
@@ -40,6 +40,7 @@ BEST = 20
 TABLES, HASHES, WIDTH, PROBES = 128, 32, 4.0, 500
 #: Vectors of a part and queries of a block: a mask of their pairs fills 16 MB.
 PART, QUERY_BLOCK, REPLY = 16_384, 1024, 128
+RANGES = 8
 #: Bits of a slot that tells a bucket with vectors from one without before it is searched.
 SLOT = 20
 SCHEMA = "query_id long, rank int, vec_id long, score double"
@@ -103,7 +104,7 @@ def sphere(x: np.ndarray, largest: float) -> np.ndarray:
 def norm_ranges(x: np.ndarray, largest: float) -> list[np.ndarray]:
     """Places of the vectors of each range of norms that has any."""
     norm = np.sqrt((x * x).sum(1))
-    place = np.floor(np.log2(np.maximum(largest / norm, 1)))
+    place = np.floor(RANGES * np.log2(np.maximum(largest / norm, 1)))
     return [np.flatnonzero(place == p) for p in np.unique(place)]
 
 
