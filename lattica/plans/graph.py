@@ -134,15 +134,15 @@ def import_cycles(spark, sf_dir):
     return G.cycles(P.imports(spark, sf_dir)).select("component", "size", "members")
 
 
-@query(f"{WITH}, early AS (SELECT src, dst FROM sparse WHERE (src + dst) % 2 = 0), {_cycles_sql('early')}")
+@query(f"{WITH}, {_cycles_sql('sparse')}")
 def call_cycles(spark, sf_dir):
     return G.cycles(P.sparse_calls(spark, sf_dir)).select("component", "size", "members")
 
 
-UNDIRECTED = "und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM imports), ids AS (SELECT a AS id FROM und UNION SELECT b FROM und), two AS (SELECT a, b FROM und UNION ALL SELECT b, a FROM und)"
+UNDIRECTED = "und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM sparse), ids AS (SELECT a AS id FROM und UNION SELECT b FROM und), two AS (SELECT a, b FROM und UNION ALL SELECT b, a FROM und)"
 
 
-@query(f"""WITH RECURSIVE {P.IMPORTS}, {UNDIRECTED},
+@query(f"""{WITH}, {UNDIRECTED},
 start AS (SELECT cut.id AS cut, min(t.b) AS s FROM ids cut JOIN two t ON t.a = cut.id GROUP BY cut.id),
 walk AS (SELECT cut, s AS v FROM start UNION SELECT cut, b FROM walk JOIN two ON a = v WHERE b <> cut)
 SELECT DISTINCT t.a AS id FROM two t LEFT JOIN walk w ON w.cut = t.a AND w.v = t.b WHERE w.v IS NULL""")
@@ -150,18 +150,19 @@ def articulation_points(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in K.cuts(K.edge_list(P.sparse_calls(spark, sf_dir)))[0]], "id long")
 
 
-@query(f"""WITH RECURSIVE {P.IMPORTS}, {UNDIRECTED},
+@query(f"""{WITH}, {UNDIRECTED},
 walk AS (SELECT a AS x, b AS y, a AS v FROM und UNION SELECT x, y, b FROM walk JOIN two ON a = v WHERE NOT (a = x AND b = y) AND NOT (a = y AND b = x))
 SELECT a, b FROM und LEFT JOIN walk ON x = a AND y = b AND v = b WHERE v IS NULL""")
 def bridges(spark, sf_dir):
     return spark.createDataFrame(K.cuts(K.edge_list(P.sparse_calls(spark, sf_dir)))[1], "a long, b long")
 
 
-@query(f"""WITH RECURSIVE {P.IMPORTS}, roots AS (SELECT DISTINCT src AS id FROM imports WHERE src NOT IN (SELECT dst FROM imports) UNION SELECT min(src) FROM imports),
-live AS (SELECT id FROM roots UNION SELECT dst FROM live JOIN imports ON src = live.id),
-walk AS (SELECT cut.id AS cut, r.id AS v FROM live cut, roots r WHERE r.id <> cut.id UNION SELECT cut, dst FROM walk JOIN imports ON src = v WHERE dst <> cut),
-dom AS (SELECT c.id AS d, l.id AS v FROM live c, live l WHERE c.id <> l.id AND NOT EXISTS (SELECT 1 FROM walk WHERE cut = c.id AND v = l.id)),
-ranked AS (SELECT v, d, (SELECT count(*) FROM dom o WHERE o.v = dom.d) AS deep FROM dom)
+@query(f"""{WITH}, roots AS (SELECT DISTINCT src AS id FROM sparse WHERE src NOT IN (SELECT dst FROM sparse) UNION SELECT min(src) FROM sparse),
+live AS (SELECT id FROM roots UNION SELECT dst FROM live JOIN sparse ON src = live.id),
+walk AS (SELECT cut.id AS cut, r.id AS v FROM live cut, roots r WHERE r.id <> cut.id UNION SELECT cut, dst FROM walk JOIN sparse ON src = v WHERE dst <> cut),
+dom AS (SELECT c.id AS d, l.id AS v FROM live c, live l WHERE c.id <> l.id EXCEPT SELECT cut, v FROM walk),
+deep AS (SELECT v AS d, count(*) AS deep FROM dom GROUP BY v),
+ranked AS (SELECT v, dom.d, coalesce(deep, 0) AS deep FROM dom LEFT JOIN deep USING (d))
 SELECT l.id, coalesce(max_by(d, deep), -1) AS idom FROM live l LEFT JOIN ranked ON v = l.id GROUP BY l.id""")
 def dominators(spark, sf_dir):
     edges = K.edge_list(P.sparse_calls(spark, sf_dir))
@@ -207,7 +208,7 @@ def dead_code_candidates(spark, sf_dir):
 
 
 @query(f"""{WITH}, t AS (SELECT [id] AS path, id AS v, FALSE AS sanitized, FALSE AS sink FROM nodes WHERE id % 41 = 0
-UNION ALL SELECT list_append(path, dst), dst, sanitized OR dst % 5 = 0, dst % 37 = 0 FROM t JOIN sparse ON src = t.v WHERE NOT sink AND len(path) <= 6 AND NOT list_contains(path, dst))
+UNION ALL SELECT list_append(path, dst), dst, sanitized OR dst % 5 = 0, dst % 37 = 0 FROM t JOIN sparse ON src = t.v WHERE NOT sink AND len(path) <= 10 AND NOT list_contains(path, dst))
 SELECT path[1] AS source, v AS sink, (len(path) - 1)::BIGINT AS hops, sanitized FROM t WHERE sink AND len(path) > 1""")
 def taint_paths(spark, sf_dir):
     n = P.nodes(spark, sf_dir)

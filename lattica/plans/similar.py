@@ -40,7 +40,7 @@ def minhash_lsh_pairs(spark, sf_dir):
 
 
 COSINE = """n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
-k AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v) / (q.l * x.l) AS score FROM n q, n x WHERE q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id),
+k AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v) / (q.l * x.l) AS score FROM n q, n x WHERE q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM k)"""
 
 

@@ -23,7 +23,7 @@ def _spark(spark, sf_dir, key="part", most=30):
     return T.analysed(P.commit_files(spark, sf_dir, key), most_files=most)
 
 
-@query(f"{_counted(most=5)} SELECT a, b, round(weight, 6) AS weight, n FROM pairs WHERE weight >= 0.3")
+@query(f"{_counted()} SELECT a, b, round(weight, 6) AS weight, n FROM pairs WHERE weight >= 0.3")
 def co_change(spark, sf_dir):
     return rounded(T.pairs(_spark(spark, sf_dir), 0.3), "weight")
 
