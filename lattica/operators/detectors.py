@@ -16,6 +16,7 @@ from ..sources import code
 from . import graph, kernels, similarity, stats
 
 COLUMNS = ["detector", "severity", "title", "file", "line_start", "line_end", "category", "cwe_id", "confidence"]
+SCHEMA = "detector string, severity int, title string, file string, line_start int, line_end int, category string, cwe_id string, confidence double"
 #: Default confidence by category.
 CONFIDENCE = {"architecture": 0.85, "security": 0.75, "design": 0.65, "dead-code": 0.70, "ai": 0.60}
 INPUT = r"(?i)\b(req(uest)?\.(body|query|params|args|form|json|cookies|headers|GET|POST)|sys\.argv|input\(|user_?input|params\[)"
@@ -310,7 +311,7 @@ def missing_tests(ctx):
 
 def _numbered(ctx):
     """Call edges with numeric ids for the kernels, and the ids' functions."""
-    ids = ctx.functions.select(F.xxhash64("qualified_name").alias("id"), "*")
+    ids = ctx.functions.drop("id").select(F.xxhash64("qualified_name").alias("id"), "*")
     return ctx.edges.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst")), ids
 
 
@@ -371,11 +372,13 @@ def middle_man(ctx):
 
 @detector("DataClumpsDetector")
 def data_clumps(ctx):
-    """Groups of four parameter names that at least five functions share. An inverted index of
-    4-subsets; lists over 10 names are long-parameter findings already and would make many."""
-    f = ctx.functions.where("size(params) between 4 and 10").select("path", "name", "line_start", "line_end", F.array_sort("params").alias("p"))
-    four = "flatten(flatten(flatten(transform(p, (a, i) -> transform(slice(p, i + 2, 10), (b, j) -> transform(slice(p, i + j + 3, 10), (c, k) -> transform(slice(p, i + j + k + 4, 10), d -> concat_ws(',', a, b, c, d))))))))"
-    x = f.select("path", "name", "line_start", "line_end", F.explode(F.expr(four)).alias("clump"))
+    """Groups of four parameter names that at least five functions share: an inverted index of the
+    4-subsets of those names that five functions have at all."""
+    p = ctx.functions.select("qualified_name", "path", "line_start", "line_end", F.explode(F.array_distinct("params")).alias("p"))
+    common = p.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("p")
+    f = p.join(common, "p").groupBy("qualified_name", "path", "line_start", "line_end").agg(F.array_sort(F.collect_list("p")).alias("p")).where("size(p) >= 4")
+    four = "flatten(flatten(flatten(transform(p, (a, i) -> transform(slice(p, i + 2, size(p)), (b, j) -> transform(slice(p, i + j + 3, size(p)), (c, k) -> transform(slice(p, i + j + k + 4, size(p)), d -> concat_ws(',', a, b, c, d))))))))"
+    x = f.select("path", "line_start", "line_end", F.explode(F.expr(four)).alias("clump"))
     g = x.groupBy("clump").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "line_start", "line_end")).alias("m")).where("n >= 5")
     return row(g.select("clump", "m.path", "m.line_start", "m.line_end"), "DataClumpsDetector", 1, F.concat(F.lit("Parameters that travel together: "), F.col("clump")), category="design")
 
@@ -387,7 +390,7 @@ def _temporal(name, build, severity=1, title="", category="architecture"):
         from . import temporal
 
         if ctx.commits is None:
-            return ctx.files.sparkSession.createDataFrame([], "detector string, severity int, title string, file string, line_start int, line_end int, category string, cwe_id string, confidence double")
+            return ctx.files.sparkSession.createDataFrame([], SCHEMA)
         df = build(ctx, temporal).withColumn("none", F.lit(None).cast("int"))
         return row(df, name, severity, F.concat(F.lit(f"{title}: "), F.col("file")), "none", "none", "file", category)
 
@@ -578,11 +581,17 @@ def names() -> list[str]:
 
 
 def detect(ctx: Context, only: list[str] | None = None, disabled: list[str] | None = None) -> DataFrame:
-    """Findings of the chosen detectors, one union; all line rules share a pass."""
-    chosen = [n for n in (only or names()) if n not in set(disabled or ())]
-    parts = []
+    """Findings of the chosen detectors (all if `only` is None), one union; all line rules share a pass.
+    A rule whose graph is beyond its kernel's limit reports that instead of its findings."""
+    chosen = [n for n in (names() if only is None else only) if n not in set(disabled or ())]
+    parts = [ctx.files.sparkSession.createDataFrame([], SCHEMA)]
     if rules := [r for r in LINE_RULES if r.name in chosen]:
         parts.append(line_findings(ctx.lines, rules))
-    parts += [REGISTRY[n](ctx) for n in chosen if n in REGISTRY]
+    for n in chosen:
+        if n in REGISTRY:
+            try:
+                parts.append(REGISTRY[n](ctx))
+            except kernels.TooLarge as beyond:
+                parts.append(ctx.files.sparkSession.createDataFrame([(n, 0, f"Not run: {beyond}", None, None, None, "architecture", None, 1.0)], SCHEMA))
     found = reduce(lambda a, b: a.unionByName(b), [p.select(*COLUMNS) for p in parts])
-    return found.select(F.xxhash64("detector", "file", F.coalesce("line_start", F.lit(0))).alias("id"), *COLUMNS)
+    return found.select(F.xxhash64("detector", "file", F.coalesce("line_start", F.lit(0)), "title").alias("id"), *COLUMNS)
