@@ -163,3 +163,49 @@ def context(spark, sf_dir, options: dict | None = None):
     ctx = detectors.Context(files(spark, sf_dir), commits(spark, sf_dir), options or {})
     ctx.__dict__.update(functions=functions(spark, sf_dir), edges=edges(spark, sf_dir))
     return ctx
+
+
+#: A class label's number: B0..B19 are themselves, C0..C4 follow from 50.
+_CLASS = "CASE WHEN class_name LIKE 'B%' THEN cast(substring(class_name, 2) AS int) ELSE 50 + cast(substring(class_name, 2) AS int) END"
+_CLASS_ID = f"-(1 + x * 100 + {_CLASS})"
+
+
+def property_graph(spark, sf_dir):
+    """The code base as one graph: functions, classes (ids below 0) and files (below -100000)."""
+    from ..operators.property_graph import PropertyGraph
+
+    f = functions(spark, sf_dir).withColumn("x", F.col("id") % FILES)
+    f = f.withColumn("class_id", F.expr(f"CASE WHEN class_name IS NOT NULL THEN cast({_CLASS_ID} AS bigint) END")).withColumn("file_id", (-100_000 - F.col("x")).cast("bigint"))
+    fn = f.select("id", F.lit("function").alias("kind"), "name", "qualified_name", "path", "line_start", "line_end", "complexity")
+    klass = f.where("class_id is not null").groupBy("class_id", "class_name", "path").agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), F.sum("complexity").cast("int").alias("complexity"))
+    klass = klass.select(F.col("class_id").alias("id"), F.lit("class").alias("kind"), F.col("class_name").alias("name"), F.concat_ws("::", "path", "class_name").alias("qualified_name"), "path", "line_start", "line_end", "complexity")
+    file = f.groupBy("file_id", "path").agg(F.max("line_end").alias("line_end")).select(F.col("file_id").alias("id"), F.lit("file").alias("kind"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("path").alias("qualified_name"), "path", F.lit(1).alias("line_start"), "line_end", F.lit(0).alias("complexity"))
+    near = P.sparse_calls(spark, sf_dir)
+    ends = near.join(f.select(F.col("id").alias("src"), F.col("class_id").alias("ca"), F.col("file_id").alias("fa")), "src").join(f.select(F.col("id").alias("dst"), F.col("class_id").alias("cb"), F.col("file_id").alias("fb")), "dst")
+    up = klass.select("id", F.expr(f"-(1 + ((((-id - 1) div 100) * 2) % {FILES}) * 100 + (-id - 1) % 100)").alias("to")).where("id != to")
+    parts = [
+        near.select("src", "dst", F.lit("CALLS").alias("kind")),
+        ends.where("fa != fb").select("fa", "fb", F.lit("IMPORTS")).distinct(),
+        up.join(klass.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to", F.lit("INHERITS")),
+        klass.select(F.expr("-100000 - (-id - 1) div 100"), "id", F.lit("CONTAINS")),
+        f.select(F.coalesce("class_id", "file_id"), "id", F.lit("CONTAINS")),
+        ends.where("ca is not null and cb is not null and ca != cb").select("ca", "cb", F.lit("USES")).distinct(),
+        P.table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", F.lit("MODIFIED_IN")).distinct(),
+    ]
+    edges = parts[0]
+    for p in parts[1:]:
+        edges = edges.union(p)
+    props = f.where("id % 2 = 0").select("id", F.size("params").alias("n_params"), F.array_join("decorators", ",").alias("decorators"), F.concat(F.lit("a"), (F.col("id") % 9).cast("string")).alias("author"))
+    return PropertyGraph(fn.union(klass).union(file), edges, props)
+
+
+GRAPH = f"""{FUNCTIONS}, {P.SPARSE}, f AS (SELECT *, id % {FILES} AS x, -100000 - id % {FILES} AS file_id FROM fn), g AS (SELECT *, CASE WHEN class_name IS NOT NULL THEN {_CLASS_ID} END AS class_id FROM f),
+klass AS (SELECT class_id AS id, class_name AS name, path, min(line_start) AS line_start, max(line_end) AS line_end, sum(complexity)::INT AS complexity FROM g WHERE class_id IS NOT NULL GROUP BY ALL),
+nodes AS (SELECT id, 'function' AS kind, name, qualified_name, path, line_start, line_end, complexity FROM fn UNION ALL SELECT id, 'class', name, concat(path, '::', name), path, line_start, line_end, complexity FROM klass
+  UNION ALL SELECT file_id, 'file', regexp_extract(path, '([^/]+)$', 1), path, path, 1, max(line_end), 0 FROM g GROUP BY file_id, path),
+ends AS (SELECT a.class_id AS ca, a.file_id AS fa, b.class_id AS cb, b.file_id AS fb FROM sparse JOIN g a ON src = a.id JOIN g b ON dst = b.id),
+up AS (SELECT id, -(1 + ((((-id - 1) // 100) * 2) % {FILES}) * 100 + (-id - 1) % 100) AS upper_id FROM klass),
+edges AS (SELECT src, dst, 'CALLS' AS kind FROM sparse UNION ALL SELECT DISTINCT fa, fb, 'IMPORTS' FROM ends WHERE fa <> fb UNION ALL SELECT id, upper_id, 'INHERITS' FROM up WHERE id <> upper_id AND upper_id IN (SELECT id FROM klass)
+  UNION ALL SELECT -100000 - (-id - 1) // 100, id, 'CONTAINS' FROM klass UNION ALL SELECT coalesce(class_id, file_id), id, 'CONTAINS' FROM g
+  UNION ALL SELECT DISTINCT ca, cb, 'USES' FROM ends WHERE ca <> cb UNION ALL SELECT DISTINCT l_partkey, l_orderkey, 'MODIFIED_IN' FROM lineitem),
+props AS (SELECT id, len(params)::INT AS n_params, array_to_string(decorators, ',') AS decorators, concat('a', cast(id % 9 AS string)) AS author FROM fn WHERE id % 2 = 0)"""
