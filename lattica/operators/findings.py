@@ -169,10 +169,12 @@ def health(f: DataFrame, pillar_of, weights: dict[str, float], security_multipli
     return a.select(*(scores[k].alias(k) for k in weights), overall.alias("overall")).withColumn("grade", grade(F.col("overall")))
 
 
-def without_overlap(f: DataFrame, loser: str, winner: str) -> DataFrame:
-    """Drops findings of `loser` at a (file, line) where `winner` reports too."""
-    seen = f.where(F.col("detector") == winner).select("file", "line").distinct().withColumn("_hit", F.lit(True))
-    return f.join(seen, ["file", "line"], "left").where(~((F.col("detector") == loser) & F.coalesce("_hit", F.lit(False)))).drop("_hit")
+def without_overlap(f: DataFrame, loser: str, winner: str, *also: str) -> DataFrame:
+    """Drops findings of `loser` at a (file, line) where `winner` reports too; `also` names further
+    columns to agree on, as the symbol."""
+    key = ["file", "line", *also]
+    seen = f.where(F.col("detector") == winner).select(*key).distinct().withColumn("_hit", F.lit(True))
+    return f.join(seen, key, "left").where(~((F.col("detector") == loser) & F.coalesce("_hit", F.lit(False)))).drop("_hit")
 
 
 def labelled(f: DataFrame, labels: DataFrame) -> DataFrame:

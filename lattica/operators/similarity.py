@@ -36,11 +36,17 @@ def jaccard_classes(docs: DataFrame, k: int = 3) -> DataFrame:
     return sets.join(sets.groupBy("set").agg(F.min("doc_id").alias("representative")), "set").select("doc_id", "representative")
 
 
+def _copies(sets: DataFrame) -> DataFrame:
+    """a, b, jaccard of each text and the first with the same shingle set."""
+    first = sets.groupBy("set").agg(F.min("doc_id").alias("a"))
+    return sets.join(first, "set").where("doc_id != a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+
+
 def jaccard_pairs(docs: DataFrame, least: float = 0.7, k: int = 3) -> DataFrame:
     """a < b, jaccard of all pairs at or above `least`, by prefix filtering: with shingles ordered
     from rare to common, similar sets share one among their first size - ceil(least * size) + 1.
-    Texts with equal shingle sets are compared once, as the first of their class; `jaccard_classes`
-    has the others."""
+    Texts with equal shingle sets are compared once, as the first of their class; each other one is
+    paired with that first at 1.0, so a group of n copies takes n - 1 rows and no link is lost."""
     s = shingles(docs, k)
     sets = s.groupBy("doc_id").agg(F.sort_array(F.collect_set("shingle")).alias("set"))
     groups = sets.groupBy("set").agg(F.min("doc_id").alias("rep"))
@@ -52,7 +58,7 @@ def jaccard_pairs(docs: DataFrame, least: float = 0.7, k: int = 3) -> DataFrame:
     pairs = prefix.select(F.col("rep").alias("a"), "n", "shingle").join(other, "shingle").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))).select("a", "b").distinct()
     x, y = reps.select(F.col("rep").alias("a"), F.col("set").alias("x")), reps.select(F.col("rep").alias("b"), F.col("set").alias("y"))
     j = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("jaccard"))
-    return j.where(F.col("jaccard") >= least)
+    return j.where(F.col("jaccard") >= least).union(_copies(sets))
 
 
 def _bands(hashes: int = HASHES, bands: int = BANDS, seed: int = 17):
@@ -78,7 +84,7 @@ def _bands(hashes: int = HASHES, bands: int = BANDS, seed: int = 17):
 
 
 def minhash_pairs(docs: DataFrame, least: float = 0.7, k: int = 3) -> DataFrame:
-    """The same pairs (of representatives, see `jaccard_classes`) with candidates from MinHash bands (BANDS of HASHES / BANDS rows), verified
+    """The same pairs (copies with the first of their class) with candidates from MinHash bands (BANDS of HASHES / BANDS rows), verified
     exactly. Signatures are minima of universal hashes (a * h + b, a odd, modulo 2^64)."""
     s = shingles(docs, k)
     sets = s.groupBy("doc_id").agg(F.sort_array(F.collect_set("shingle")).alias("set"))
@@ -90,7 +96,13 @@ def minhash_pairs(docs: DataFrame, least: float = 0.7, k: int = 3) -> DataFrame:
     pairs = buckets.select(F.col("rep").alias("a"), "n", "bucket").join(other, "bucket").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))).select("a", "b").distinct()
     x, y = reps.select(F.col("rep").alias("a"), F.col("set").alias("x")), reps.select(F.col("rep").alias("b"), F.col("set").alias("y"))
     j = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("jaccard"))
-    return j.where(F.col("jaccard") >= least)
+    return j.where(F.col("jaccard") >= least).union(_copies(sets))
+
+
+def estimated_jaccard(x: str, y: str):
+    """The share of places where two signatures of equal length have the same minimum."""
+    same = F.zip_with(x, y, lambda a, b: (a == b).cast("int"))
+    return F.aggregate(same, F.lit(0), lambda s, v: s + v) / F.size(x)
 
 
 def _blocks(vectors: DataFrame, size: int):

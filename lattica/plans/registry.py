@@ -29,4 +29,4 @@ def flagship(spark, sf_dir):
     return QUERIES["degree_centrality"](spark, sf_dir)
 
 
-from . import detect, graph, property_graph, relational, similar, stats, streams, temporal  # noqa: E402, F401
+from . import derived, detect, graph, property_graph, relational, similar, stats, streams, temporal  # noqa: E402, F401

@@ -12,7 +12,7 @@ PAIRS = r"""WITH s AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(text)
 g AS (SELECT doc_id, list_sort(list_distinct([array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)])) AS g FROM s WHERE len(w) >= 3),
 r AS (SELECT min(doc_id) AS id, g FROM g GROUP BY g), e AS (SELECT id, len(g) AS n, unnest(g) AS x FROM r),
 c AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY ALL)
-SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM c WHERE k / (na + nb - k) >= 0.7"""
+SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM c WHERE k / (na + nb - k) >= 0.7 UNION ALL SELECT id, doc_id, 1.0 FROM g JOIN r USING (g) WHERE doc_id <> id"""
 
 
 @query(f"""WITH {P.LINES}, k AS (SELECT doc_id, line_no, trim(line, ' ') AS line FROM lines WHERE trim(line, ' ') <> ''),
