@@ -1,7 +1,7 @@
 """Source trees as tables: files, lines, functions and calls.
 
 Files are read by Spark's binary source with a size cap. Python is parsed with its own syntax
-tree in Arrow batches; for brace languages function spans come from line state. Names of calls
+tree in Arrow batches, brace languages by headers and matching braces (`braces`). Names of calls
 are resolved by equi joins (same file first, then a name that is unique in the tree)."""
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import braces
+
 MOST_BYTES = 2 * 1024 * 1024
 #: Language of each file extension.
 LANGUAGES = {"py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "rs": "rust", "go": "go", "java": "java", "cs": "csharp", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "yml": "yaml", "yaml": "yaml"}
@@ -115,15 +117,18 @@ def _parse(path: str, content: str) -> list[dict]:
 
 
 def functions(files: DataFrame) -> DataFrame:
-    """Facts of Python functions, as FUNCTIONS; a file that doesn't parse gives none."""
+    """Facts of functions, as FUNCTIONS: of Python by its syntax tree, of brace languages by their
+    headers; a file that doesn't parse gives none."""
     names = [x.split()[0] for x in FUNCTIONS.split(", ")]
 
     def run(frames):
         for frame in frames:
-            rows = [r for path, text in zip(frame["path"], frame["content"]) for r in _parse(path, text or "")]
+            rows = []
+            for path, language, text in zip(frame["path"], frame["language"], frame["content"]):
+                rows += _parse(path, text or "") if language == "python" else braces.parse(path, text or "", language)
             yield pd.DataFrame(rows, columns=names)
 
-    return files.where("language = 'python'").select("path", "content").mapInPandas(run, FUNCTIONS)
+    return files.where(F.col("language").isin("python", *braces.LANGUAGES)).select("path", "language", "content").mapInPandas(run, FUNCTIONS)
 
 
 def call_edges(functions: DataFrame) -> DataFrame:
@@ -144,4 +149,9 @@ def lock_entries(files: DataFrame) -> DataFrame:
     block = r'(?s)name = "([^"]+)"\s+version = "([^"]+)"'
     toml = files.where(name.isin("Cargo.lock", "poetry.lock")).select(F.when(name == "Cargo.lock", "crates.io").otherwise("PyPI").alias("e"), F.explode(F.arrays_zip(F.regexp_extract_all("content", F.lit(block), F.lit(1)).alias("n"), F.regexp_extract_all("content", F.lit(block), F.lit(2)).alias("v"))).alias("z")).select("e", "z.n", "z.v")
     npm = files.where(name == "package-lock.json").select(F.explode(F.map_entries(F.from_json(F.get_json_object("content", "$.packages"), "map<string, struct<version: string>>"))).alias("m")).where("m.key != ''").select(F.lit("npm"), F.regexp_replace("m.key", r"^.*node_modules/", ""), "m.value.version")
-    return pip.union(gosum).union(toml).union(npm).where("name != '' and version is not null").distinct()
+    yarn = files.where(name == "yarn.lock").select(F.explode(F.regexp_extract_all("content", F.lit(r'(?m)^"?@?[^@"\s#]+@[^\n]*:\s*\n\s+version:?\s+"?[^"\s]+'), F.lit(0))).alias("b"))
+    yarn = yarn.select(F.lit("npm"), F.regexp_extract("b", r'^"?(@?[^@"\s]+)@', 1), F.regexp_extract("b", r'version:?\s+"?([^"\s]+)$', 1))
+    packages = "map<string, struct<version: string>>"
+    pipfile = files.where(name == "Pipfile.lock").select(F.from_json("content", f"default {packages}, develop {packages}").alias("j")).select(F.explode(F.array(F.coalesce("j.default", F.expr(f"cast(map() as {packages})")), F.coalesce("j.develop", F.expr(f"cast(map() as {packages})")))).alias("m")).select(F.explode(F.map_entries("m")).alias("m"))
+    pipfile = pipfile.select(F.lit("PyPI"), "m.key", F.regexp_replace("m.value.version", "^==", ""))
+    return pip.union(gosum).union(toml).union(npm).union(yarn).union(pipfile).where("name != '' and version is not null").distinct()
