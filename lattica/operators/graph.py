@@ -7,16 +7,15 @@ that cut their lineage with reliable checkpoints.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..folders import shared
+
 
 def checkpoint_folder(spark) -> None:
-    """Uses the folder the cluster names; only where it names none, one of this machine."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-graph-"))
+    """Sees to it that there is a folder for checkpoints."""
+    shared(spark)
 
 
 def fan_in_out(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,17 +5,17 @@ as a table; in production the same queries keep running with a processing-time t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import shared
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """State and results go to the shared folder the cluster names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-stream-")
-    return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    return f"{shared(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
 def read(spark: SparkSession, path: str, schema, name_filter: str = "*.parquet") -> DataFrame:
