@@ -10,7 +10,6 @@ Spark reuses the one exchange for all steps that read it.
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 import numpy as np
@@ -19,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..folders import shared
 from . import textops as T
 
 #: Input (file) bytes for one block, at least and at most: blocks grow with the square root of the
@@ -38,19 +38,14 @@ def count_for(df: DataFrame, least: int = 16, most: int = 1 << 22) -> int:
 
 
 def checkpoints(spark) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only where it doesn't, as in
-    tests, a folder of this machine serves."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-checkpoint-"))
+    """Sees to it that there is a shared folder for checkpoints."""
+    shared(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
-    checkpoints(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}.parquet"
+    path = f"{shared(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}.parquet"
     df.write.parquet(path)
     return spark.read.parquet(path)
 

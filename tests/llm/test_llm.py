@@ -649,6 +649,77 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """Tables with each stage's cases: toxic rows, copies and near copies, a shared passage, a benchmark
+    passage in a long row, and odd rows. Returns (folder, ids by case)."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"k{rng.randrange(5000)}" for _ in range(n))
+    bad = [f"vile{i}" for i in range(6)]
+    rows, labels, ids = [], [], {"toxic": set(), "copy": set(), "near": set(), "passage": set(), "leak": set(), "clean": set()}
+    passage, leak = text(70), text(20)
+
+    def add(case, body):
+        rows.append((len(rows), body, "en", "src", len(body or "")))
+        ids[case].add(rows[-1][0])
+
+    for i in range(160):
+        w = text(rng.randrange(40, 90)).split()
+        if i % 2:
+            for x in bad:
+                w.insert(rng.randrange(len(w)), x)
+        add("toxic" if i % 2 else "clean", " ".join(w))
+        labels.append((rows[-1][0], 1, i % 2))
+    base = rows[0][1]
+    add("copy", base)
+    near = base.split()
+    near[7] = "changed"
+    add("near", " ".join(near))
+    add("clean", text(30) + " " + passage)
+    add("passage", text(40) + " " + passage + " " + text(40))
+    add("leak", text(1500) + " " + leak + " " + text(1500))
+    for odd_text in (None, "", " \t"):
+        add("clean", odd_text)
+    rows.append((None, text(20), None, None, None))
+    folder = str(tmp_path_factory.mktemp("planted"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_nth", F.lit(1)).withColumn("key", F.lit("x")).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, ids
+
+
+def test_pipeline_decisions_take_effect(spark, planted):
+    import corpus_pipeline
+
+    folder, ids = planted
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    gone = {"toxicity": ids["toxic"], "near_dedup": ids["copy"] | ids["near"], "substring_dedup": set(), "decontamination": ids["leak"]}
+    before = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = B.written(stage(spark, docs, folder), name)
+        assert docs.columns == corpus_pipeline.COLUMNS
+        after = {r.doc_id: r.text for r in docs.collect()}
+        assert before.keys() - after.keys() == gone[name], name
+        changed = {i for i in after if after[i] != before[i]}
+        assert changed == (ids["passage"] if name == "substring_dedup" else set()), name
+        if changed:
+            (i,) = changed
+            assert len(after[i].split()) == 80 and docs.where(F.col("doc_id") == i).first()["n_chars"] == len(after[i])
+        before = after
+    pieces = B.written(corpus_pipeline.packed(spark, docs, folder), "pieces")
+    tokens = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {r.doc_id for r in tokens} == before.keys() and all(r.n == r["all"] for r in tokens)
+
+
+def test_pipeline_stages_of_empty_tables(spark, planted):
+    import corpus_pipeline
+
+    folder, _ = planted
+    none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, folder).count() == 0, name
+
+
 def test_text_primitives():
     texts = ["a bb", "", "  x\ty ", "ünï z", None, "q"]
     data, off = textops.text_buffers(pa.array(texts))
