@@ -346,9 +346,13 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without their repeated words. A text that loses nothing stays as it is; from
-    others the removed words go with the white space before them, n_chars follows if there is such
-    a column, and a row that loses all its words goes."""
+    """The rows of docs without their repeated words. A text that loses nothing stays as it is, null
+    ones too; from others the removed words go with the white space before them, n_chars follows if
+    there is such a column, and a row that loses all its words goes."""
+    missing, names = "missing", docs.columns
+    while missing in {c.lower() for c in names}:
+        missing += "_"
+    docs = docs.withColumn(missing, F.col("text").isNull())
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     schema = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others).schema
 
@@ -374,9 +378,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if c == "n_chars":
                 column = pa.compute.if_else(pa.array(lost), pa.array(sizes, pa.int64()).cast(column.type), column)
             columns[c] = column
+        columns["text"] = pa.compute.if_else(columns[missing], pa.scalar(None, pa.string()), columns["text"])
         return pa.table(columns).filter(pa.array(keep))
 
-    return removed_words(docs, window, finish, schema, others).select(*docs.columns)
+    return removed_words(docs, window, finish, schema, others).select(*(F.col(f"`{c}`") for c in names))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

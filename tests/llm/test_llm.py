@@ -273,7 +273,8 @@ def test_without_repeats(spark, odd, empty):
     got = substring_dedup.without_repeats(odd)
     assert got.columns == odd.columns
     want = Counter((i, sha) for i, n, k, sha in removed_by_brute_force(odd_rows()) if not n or n > k)
-    assert Counter((r.doc_id, hashlib.sha256(" ".join(WORD.findall(r.text)).encode()).hexdigest()) for r in got.collect()) == want
+    assert Counter((r.doc_id, hashlib.sha256(" ".join(WORD.findall(r.text or "")).encode()).hexdigest()) for r in got.collect()) == want
+    assert got.where("text is null").count() == odd.where("text is null").count()
 
 
 def test_equal_substrings_share_interior_symbols():
