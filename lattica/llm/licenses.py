@@ -5,7 +5,8 @@ enter an inverted index. Runs of a document found in the index propose places (d
 template position); places of one template closer than its band are one candidate. A candidate
 is aligned by a longest common subsequence inside a band around the proposed diagonal, and
 reported if at least COVERAGE of the template's words match. Of matches that overlap in a
-document the one with most matched words stays (ties: the earlier start, then the name).
+document the one with most matched words stays (ties: the earlier start, then the name); the others
+are aligned again with the words it leaves, so copies that follow each other are all found.
 
 Words are lower-case runs of ASCII letters, digits and non-ASCII characters. The index depends
 on the templates alone (a parameter; the ones here make under 1 MB), so one pass without a
@@ -17,6 +18,8 @@ reported for each row. Columns other than doc_id and text aren't read.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +44,10 @@ TEMPLATES = {
     "LGPL-2.1/header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "MPL-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "BSD-2-Clause/text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause/text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "AGPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "BSL-1.0/line": "Distributed under the Boost Software License, Version 1.0.",
+    "Zlib/text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "ISC/text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "Unlicense/text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "CC-BY-4.0/line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -80,35 +87,56 @@ class Index:
         return np.repeat(hit, many), template[entry], place[entry]
 
 
+def _longest(template: np.ndarray, text: np.ndarray, offset: int, band: int) -> tuple[int, int]:
+    """(matched words, least end in text) of a longest common subsequence within `band` of the diagonal
+    text = template + offset. Only a row of the band's 2 * band + 2 borders is held: entry k of row i is
+    border i + offset - band + k of the text. A value is count * many - end, so that more words come
+    first and then the earlier end."""
+    n, many = len(text), len(text) + 2
+    place = np.arange(2 * band + 1) + offset - band
+    row = np.zeros(2 * band + 2, np.int64)
+    for i in range(len(template)):
+        at = place + i
+        inside = np.flatnonzero((at >= 0) & (at < n))
+        inside = inside[text[at[inside]] == template[i]]
+        new = np.append(row[1:], row[-1])
+        new[0] = max(new[0], row[0])
+        # The border after a matched word has the same place, as the next row counts from one further.
+        new[inside] = np.maximum(new[inside], ((row[inside] + many - 1) // many + 1) * many - (at[inside] + 1))
+        row = np.maximum.accumulate(new)
+    best = int(row[-1])
+    matched = -(-best // many)
+    return matched, matched * many - best
+
+
 def align(template: np.ndarray, text: np.ndarray, offset: int, band: int) -> tuple[int, int, int]:
-    """(matched words, first, last + 1 in text) of a longest common subsequence that stays within
-    `band` of the diagonal text = template + offset."""
-    m, n = len(template), len(text)
-    table = np.zeros((m + 1, n + 1), np.int32)
-    at = np.arange(n)
-    for i in range(m):
-        same = (text == template[i]) & (np.abs(at - i - offset) <= band)
-        row = table[i].copy()
-        row[1:] = np.maximum(row[1:], table[i, :-1] + same)
-        table[i + 1] = np.maximum.accumulate(row)
-    i, j, first, last = m, n, n, 0
-    while i and j and table[i, j]:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            first, last = j, max(last, j + 1)
-    return int(table[m, n]), first, last
+    """(matched words, first, last + 1 in text) of a longest common subsequence inside the band, of
+    those the one that ends first and then starts last. (0, n, 0) if nothing matches."""
+    matched, last = _longest(template, text, offset, band)
+    if not matched:
+        return 0, len(text), 0
+    # The same from behind, of the text up to there.
+    _, back = _longest(template[::-1], text[:last][::-1], last - len(template) - offset, band)
+    return matched, last - back, last
 
 
 def matches(index: Index, h: np.ndarray, hits: list[tuple[int, int, int]], coverage: float) -> list[tuple]:
-    """Non-overlapping (license, coverage, matched, start, end) of one document."""
-    found = []
-    for t in sorted({x[1] for x in hits}):
+    """Non-overlapping (license, coverage, matched, start, end) of one document, the one with most
+    matched words first; one that overlaps those is aligned again with what they leave free."""
+    queue: list[tuple] = []
+
+    def propose(t: int, mid: int, lo: int, hi: int) -> None:
         w = index.words[t]
         band = max(3, len(w) // 5)
+        lo, hi = max(0, mid - band, lo), min(len(h), mid + len(w) + band, hi)
+        if hi - lo < coverage * len(w):
+            return
+        matched, first, last = align(w, h[lo:hi], mid - lo, band)
+        if matched and matched >= coverage * len(w):
+            heapq.heappush(queue, (-matched, lo + first, index.names[t], lo + last, t, mid))
+
+    for t in sorted({x[1] for x in hits}):
+        band = max(3, len(index.words[t]) // 5)
         places = sorted(p - q for p, k, q in hits if k == t)
         groups = [[places[0]]]
         for p in places[1:]:
@@ -117,17 +145,18 @@ def matches(index: Index, h: np.ndarray, hits: list[tuple[int, int, int]], cover
             else:
                 groups.append([p])
         for g in groups:
-            mid = g[len(g) // 2]
-            lo = max(0, mid - band)
-            matched, first, last = align(w, h[lo : max(lo, mid + len(w) + band)], mid - lo, band)
-            if matched and matched >= coverage * len(w):
-                found.append((index.names[t], matched / len(w), matched, lo + first, lo + last))
-    found.sort(key=lambda x: (-x[2], x[3], x[0]))
+            propose(t, g[len(g) // 2], 0, len(h))
     kept: list[tuple] = []
-    for x in found:
-        if all(x[4] <= y[3] or y[4] <= x[3] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: (x[3], x[0]))
+    while queue:
+        matched, start, name, end, t, mid = heapq.heappop(queue)
+        if all(end <= a or z <= start for a, z, *_ in kept):
+            kept.append((start, end, name, -matched, t))
+            continue
+        free = 0
+        for a, z, *_ in [*sorted(kept), (len(h), len(h))]:
+            propose(t, mid, free, a)
+            free = z
+    return sorted(((name, matched / len(index.words[t]), matched, start, end) for start, end, name, matched, t in kept), key=lambda x: (x[3], x[0]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:

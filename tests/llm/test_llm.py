@@ -318,6 +318,58 @@ def test_alignment_is_the_longest_common_subsequence():
         assert licenses.align(a, b, 0, 99)[0] == n[12, 15]
 
 
+def test_alignment_stays_in_its_band():
+    """Against the whole table with matches outside the band left out."""
+    rng = np.random.default_rng(1)
+    for turn in range(400):
+        a, b = rng.integers(0, 4, rng.integers(1, 14)), rng.integers(0, 4, rng.integers(1, 22))
+        offset, band = int(rng.integers(-6, 12)), int(rng.integers(0, 6))
+        n = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n[i + 1, j + 1] = max(n[i, j + 1], n[i + 1, j], n[i, j] + (a[i] == b[j] and abs(j - i - offset) <= band))
+        matched, first, last = licenses.align(a, b, offset, band)
+        assert matched == n[-1, -1], turn
+        if matched:
+            assert 0 <= first < last <= len(b) and licenses.align(a, b[first:last], offset - first, band)[0] == matched
+
+
+def test_license_scan_by_brute_force(spark):
+    """All templates at all places of texts that hold whole, damaged, repeated and overlapping ones; a
+    match has an indexed run."""
+    rng = random.Random(8)
+    names = sorted(licenses.TEMPLATES)
+    index = licenses.Index(licenses.TEMPLATES)
+    rows = []
+    for i in range(12):
+        words = [f"z{rng.randrange(90)}" for _ in range(rng.randrange(20))]
+        for name in rng.sample(names, rng.randrange(3)):
+            t = licenses.TEMPLATES[name].split()
+            for _ in range(rng.choice([0, 0, 1, len(t) // 12])):
+                t[rng.randrange(len(t))] = "damaged"
+            words += t * rng.choice([1, 1, 2]) + [f"z{rng.randrange(90)}" for _ in range(rng.randrange(9))]
+        rows.append((i, " ".join(words)))
+    rows.append(rows[-1])
+    got = Counter((r.doc_id, r.license, r.start_word, r.end_word, r.matched_words) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = Counter()
+    for i, text in rows:
+        data, off = textops.text_buffers(pa.array([text]))
+        h = textops.words(data, off, textops.ALNUM, lower=True)[3][0]
+        every = [(p, t, 0) for t in range(len(index.words)) for p in range(-len(index.words[t]) // 5, len(h))]
+        found = []
+        for p, t, _ in every:
+            w, band = index.words[t], max(3, len(index.words[t]) // 5)
+            matched, first, last = licenses.align(w, h, p, band)
+            if matched >= licenses.COVERAGE * len(w):
+                found.append((matched, last - first, first, last, index.names[t]))
+        taken = []
+        for matched, _, a, z, name in sorted(found, key=lambda x: (-x[0], x[1], x[2], x[4])):
+            if all(z <= x or y <= a for x, y in taken):
+                taken.append((a, z))
+                want[i, name] += 1
+    assert Counter((i, name) for (i, name, *_), n in got.items() for _ in range(n)) == want
+
+
 @pytest.mark.parametrize("name", ["MIT/line", "Apache-2.0/line", "CC-BY-NC-4.0/line", "GPL-3.0/line"])
 def test_licenses_of_one_changed_word(spark, name):
     words = licenses.TEMPLATES[name].split()
