@@ -9,10 +9,15 @@ much the token count changes (it may fall, when a byte completes a merge), and a
 transition does so for a byte that ends its piece. States are determinised when first
 visited, and whole runs of short pieces are remembered in a bounded table.
 
-A long text is cut into chunks. White space sends the machine to its start state, so a
-chunk's state map is what it does to an unknown entry state (the head, before its first white
-space), a constant count, and the state that it leaves (the tail). Maps compose
-associatively, in a balanced scan over the chunks.
+The pre-tokenizer is a machine over characters (`Walk`): its states are what kind of piece is open
+(letters, others, a quote that may begin a contraction), the transducer's state in that piece and
+the byte that waits to know whether it is the last. Its transitions carry counts too.
+
+A long text is cut into chunks. White space and digits send the machine to its start state whatever
+state it was in. So a chunk's state map is: up to its first such character it has to be walked from
+the entry state, once that is known; from there on count and exit state are constants. Two maps
+compose by walking the second's beginning from the first's exit state; if the first has no constant
+part, beginnings are laid end to end. That is associative, and done as a prefix scan over pairs.
 
 Null and empty texts have no tokens. Special strings inside a text count one token each, as
 the library has it by default. Rows with equal or null ids are counted each on their own;
@@ -131,6 +136,13 @@ class Transducer:
     def whole(self, token: tuple) -> bool:
         return self.encode(token) == [token]
 
+    def move(self, state: int, symbol: int) -> tuple[int, int]:
+        """(next state, change of the count) by a symbol."""
+        key = state * 512 + symbol
+        if (arc := self.step.get(key)) is None:
+            arc = self.step[key] = self.grow(state, symbol)
+        return arc
+
     def count(self, piece: bytes) -> int:
         if len(self.states) > MOST_STATES:
             self.reset()
@@ -145,6 +157,97 @@ class Transducer:
         return total
 
 
+#: Open pieces: none, letters, others, a quote, and a quote with the first letter of 're, 've, 'll.
+NONE, LETTERS, OTHERS, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(7)
+_SECOND = {"r": QUOTE_R, "v": QUOTE_V, "l": QUOTE_L}
+_THIRD = {QUOTE_R: ("r", "e"), QUOTE_V: ("v", "e"), QUOTE_L: ("l", "l")}
+
+
+class Walk:
+    """The pre-tokenizer over characters, with the transducer inside a piece. A state is (open piece,
+    state of the transducer as its window of last tokens, waiting byte or -1)."""
+
+    def __init__(self, machine: Transducer, space: str):
+        self.machine, self.space = machine, set(space)
+        self.start = (NONE, machine.states[0], -1)
+        self.kinds: dict[str, int] = {}
+
+    def kind(self, c: str) -> int:
+        """0 white space, 1 a letter, 2 a digit, 3 another character."""
+        k = self.kinds.get(c)
+        if k is None:
+            k = 0 if c in self.space else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3
+            if len(self.kinds) < 100_000:
+                self.kinds[c] = k
+        return k
+
+    def _feed(self, window: tuple, waiting: int, data: bytes) -> tuple[tuple, int, int]:
+        """More bytes of an open piece: (window, waiting byte, count)."""
+        m, total = self.machine, 0
+        for b in data:
+            if waiting >= 0:
+                if len(m.states) > MOST_STATES:
+                    m.reset()
+                if (state := m.number.get(window)) is None:
+                    state = m.number[window] = len(m.states)
+                    m.states.append(window)
+                state, change = m.move(state, waiting)
+                window, total = m.states[state], total + change
+            waiting = b
+        return window, waiting, total
+
+    def close(self, state: tuple) -> int:
+        """The change of the count when the open piece ends here."""
+        mode, window, waiting = state
+        if mode in _THIRD:  # the quote was a piece, and a letter after it is one
+            return self.machine.count(b"'") + self.machine.count(_THIRD[mode][0].encode())
+        if waiting < 0:
+            return 0
+        m = self.machine
+        if (number := m.number.get(window)) is None:
+            number = m.number[window] = len(m.states)
+            m.states.append(window)
+        return m.move(number, waiting + 256)[1]
+
+    def run(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """(state after the text, change of the count)."""
+        m, first, total = self.machine, self.start[1], 0
+        mode, window, waiting = state
+        for c in text:
+            k = self.kind(c)
+            if mode in _THIRD:
+                letter, last = _THIRD[mode]
+                if c == last:
+                    total += m.count(f"'{letter}{last}".encode())
+                    mode, window, waiting = self.start
+                    continue
+                total += m.count(b"'")
+                mode, (window, waiting, more) = LETTERS, self._feed(first, -1, letter.encode())
+                total += more
+            elif mode == QUOTE:
+                if c in "stmd":
+                    total += m.count(f"'{c}".encode())
+                    mode, window, waiting = self.start
+                    continue
+                if c in _SECOND:
+                    mode, window, waiting = _SECOND[c], first, -1
+                    continue
+                mode = OTHERS
+            if (mode == LETTERS and k == 1) or (mode == OTHERS and k == 3):
+                window, waiting, more = self._feed(window, waiting, c.encode())
+                total += more
+                continue
+            total += self.close((mode, window, waiting))
+            mode, window, waiting = self.start
+            if k == 2:
+                total += m.count(c.encode())
+            elif k:
+                mode = LETTERS if k == 1 else QUOTE if c == "'" else OTHERS
+                window, waiting, more = self._feed(first, -1, c.encode())
+                total += more
+        return (mode, window, waiting), total
+
+
 class Counter:
     """Counts the tokens of texts as the tokenizer file's library does."""
 
@@ -158,7 +261,8 @@ class Counter:
         pattern = split["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}")
         self.pieces = regex.compile(pattern, regex.V0).findall
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
-        self.gap = regex.compile(f"[{SPACE}]")
+        self.walk = Walk(self.machine, SPACE.replace("\t-\r", "\t\n\x0b\x0c\r").replace("\u2000-\u200a", "".join(map(chr, range(0x2000, 0x200B)))))
+        self.reset = regex.compile(rf"[{SPACE}]|\p{{N}}")
         self.memo: dict[str, int] = {}
 
     def plain(self, text: str) -> int:
@@ -180,19 +284,29 @@ class Counter:
             total += n
         return total
 
-    def chunk_map(self, chunk: str) -> tuple[str, int, str] | str:
-        """(head, count, tail), or the chunk itself if it holds no white space."""
-        if (first := self.gap.search(chunk)) is None:
-            return chunk
-        last = max(chunk.rfind(c) for c in set(self.gap.findall(chunk)))
-        return chunk[: first.start()], self.plain(chunk[first.start() : last]), chunk[last + 1 :]
+    def chunk_map(self, chunk: str) -> tuple[list[str], int | None, tuple | None]:
+        """(beginning, count, exit state): the beginning reaches to the first character that resets the
+        machine and has to be walked from the entry state; count and exit state are None if the
+        whole chunk is beginning."""
+        first = self.reset.search(chunk)
+        if first is None:
+            return [chunk], None, None
+        begin, last = first.end(), first.end()
+        for c in reversed(range(begin, len(chunk))):
+            if self.walk.kind(chunk[c]) in (0, 2):
+                last = c + 1
+                break
+        state, tail = self.walk.run(self.walk.start, chunk[last:])
+        return [chunk[:begin]], self.plain(chunk[begin:last]) + tail, state
 
     def compose(self, a, b):
-        if isinstance(a, str):
-            return a + b if isinstance(b, str) else (a + b[0], b[1], b[2])
-        if isinstance(b, str):
-            return a[0], a[1], a[2] + b
-        return a[0], a[1] + self.plain(a[2] + b[0]) + b[1], b[2]
+        if a[2] is None:
+            return a[0] + b[0], b[1], b[2]
+        state, total = a[2], a[1]
+        for part in b[0]:
+            state, more = self.walk.run(state, part)
+            total += more
+        return (a[0], total, state) if b[2] is None else (a[0], total + b[1], b[2])
 
     def normalise(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
@@ -203,11 +317,10 @@ class Counter:
         text = self.normalise(text)
         if len(text) <= CHUNK:
             return self.plain(text)
-        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
+        maps = [([], 0, self.walk.start), *(self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK))]
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        whole = maps[0]
-        return self.plain(whole) if isinstance(whole, str) else self.plain(whole[0]) + whole[1] + self.plain(whole[2])
+        return maps[0][1] + self.walk.close(maps[0][2])
 
     def count(self, text: str) -> int:
         if "<|" not in text:

@@ -95,6 +95,30 @@ def test_chunk_maps_compose(library, monkeypatch):
         assert [own.count(t) for t in texts] == whole
 
 
+def test_chunk_maps_are_maps_of_states(library, monkeypatch):
+    """Chunks of odd texts, cut anywhere, in any grouping; texts without a resetting character too."""
+    own, rng = token_counts.Counter(P.path("word_bpe_49k.json")), random.Random(6)
+    parts = ["a", "the", "'s", "'ll", "'r", "'re", "'v", "'", "''", "!", "!'", " ", "\n", "1", "é", "ß", "中", "😀", "\x85", "½", "ing", "zz", "token", "\u0301", "\u3000"]
+    for turn in range(1500):
+        t = own.normalise("".join(rng.choice(parts if turn % 3 else [p for p in parts if not p.isspace() and p not in "1½"]) for _ in range(rng.randrange(1, 14))))
+        cuts = sorted(rng.sample(range(len(t) + 1), min(len(t), rng.randrange(4))))
+        maps = [([], 0, own.walk.start), *(own.chunk_map(t[a:b]) for a, b in zip([0, *cuts], [*cuts, len(t)]))]
+        while len(maps) > 1:  # associative: any two neighbours may be joined first
+            i = rng.randrange(len(maps) - 1)
+            maps[i : i + 2] = [own.compose(*maps[i : i + 2])]
+        assert maps[0][1] + own.walk.close(maps[0][2]) == len(library.encode(t, add_special_tokens=False).ids), t
+    monkeypatch.setattr(token_counts, "CHUNK", 5)
+    long = "".join(rng.choice("abcdefghij") for _ in range(3000))
+    for t in (long, long + "!" + long, "'" * 500, "x 1" * 300, "中" * 200, "don't" * 300):
+        assert own.count(t) == len(library.encode(t, add_special_tokens=False).ids)
+
+
+def test_a_text_over_the_chunk_size(library):
+    own, rng = token_counts.Counter(P.path("word_bpe_49k.json")), random.Random(7)
+    t = " ".join("".join(rng.choice("etaoin shrdlu'") for _ in range(rng.randrange(1, 9))) for _ in range(40_000))
+    assert len(t) > 2 * token_counts.CHUNK and own.count(t) == len(library.encode(t, add_special_tokens=False).ids)
+
+
 # 2
 
 
