@@ -8,22 +8,40 @@ from pyspark.sql import functions as F
 from .graph import checkpoint_folder
 
 LEAST_VALUES = 40
+#: Shares that the lines of one trigram are dealt into.
+SHARES = 8
+
+
+#: Distinct values that one task orders.
+RUN = 500_000
+
+
+def running(df: DataFrame, by: list[str], order: str, count: str, upto: str) -> DataFrame:
+    """Adds the running sum of a count in order of a value, within groups `by`. Rows are dealt by ranges of
+    group and value; each range adds up its own, and the sums before a range come from one row a
+    range and group, so no group is one task's to sort."""
+    checkpoint_folder(df.sparkSession)
+    n = max(1, df.count() // RUN)
+    placed = df.repartitionByRange(n, *by, order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    own = Window.partitionBy("_part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = placed.groupBy("_part", *by).agg(F.sum(count).alias("_s"))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_part", *by, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    return placed.withColumn("_own", F.sum(count).over(own)).join(before, ["_part", *by]).withColumn(upto, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
 def ranked(values: DataFrame) -> DataFrame:
     """(metric, value) as (metric, value, copies, below): counts aggregated before any ordering,
-    so a window holds one row for each distinct value."""
+    so what is ordered is one row for each distinct value."""
     counts = values.where("value is not null").groupBy("metric", "value").agg(F.count(F.lit(1)).alias("copies"))
-    w = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("upto", F.sum("copies").over(w)).withColumn("below", F.col("upto") - F.col("copies"))
+    return running(counts, ["metric"], "value", "copies", "upto").withColumn("below", F.col("upto") - F.col("copies"))
 
 
 def distribution(values: DataFrame, shares=(0.5, 0.75, 0.9, 0.95)) -> DataFrame:
     """metric, n, mean, stddev (population), percentiles by nearest rank round(p * (n - 1)), max."""
     r = ranked(values)
-    n = F.sum("copies").over(Window.partitionBy("metric"))
     mean_of = F.sum(F.col("value") * F.col("copies"))
-    r = r.withColumn("n", n)
+    r = r.join(r.groupBy("metric").agg(F.sum("copies").alias("n")), "metric")
     at = [F.max(F.when((F.floor(F.lit(p) * (F.col("n") - 1) + 0.5) >= F.col("below")) & (F.floor(F.lit(p) * (F.col("n") - 1) + 0.5) < F.col("upto")), F.col("value"))).alias(f"p{int(p * 100)}") for p in shares]
     s = r.groupBy("metric").agg(F.max("n").alias("n"), (mean_of / F.sum("copies")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("value") * F.col("value") * F.col("copies")) / F.sum("copies") - F.pow(mean_of / F.sum("copies"), 2))).alias("stddev"), *at, F.max("value").alias("max"))
     return s
@@ -54,14 +72,11 @@ def mahalanobis(df: DataFrame, x: str, y: str, ridge: float = 1e-6) -> DataFrame
 
 
 def percentile_bucket(df: DataFrame, score: str, name: str, key: str = "id") -> DataFrame:
-    """Adds the integer percentile floor(rank * 100 / n), rank from 0 by (score, key). Ranks come
-    from counts by score, then ties by key, so the global order is on distinct scores."""
-    counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    placed = counts.withColumn("_below", F.coalesce(F.sum("_c").over(w), F.lit(0))).crossJoin(F.broadcast(total))
-    tie = F.row_number().over(Window.partitionBy(score).orderBy(key)) - 1
-    return df.withColumn("_t", tie).join(placed.select(score, "_below", "_n"), score).withColumn(name, F.floor((F.col("_below") + F.col("_t")) * 100 / F.col("_n")).cast("long")).drop("_t", "_below", "_n")
+    """Adds the integer percentile floor(rank * 100 / n), rank from 0 by (score, key): the running count
+    over ranges of both, so neither distinct scores nor ties are one task's to sort."""
+    one = df.withColumn("_at", F.struct(score, key)).withColumn("_one", F.lit(1).cast("long"))
+    n = df.count()
+    return running(one, [], "_at", "_one", "_upto").withColumn(name, F.floor((F.col("_upto") - 1) * 100 / F.lit(n)).cast("long")).drop("_at", "_one", "_upto")
 
 
 def interpolated_percentile(value, p25, p50, p75, p90):
@@ -90,14 +105,18 @@ def trigram_surprisal(lines: DataFrame, k: float = 0.1, least_tokens: int = 5000
     from all lines (unseen contexts use the unigram); 0 where the model or the line is too short.
 
     lines: doc_id, line_no, tokens. Counts are aggregated map-side; lines meet them by key."""
-    order = F.posexplode("tokens").alias("pos", "t")
-    tok = lines.select("doc_id", "line_no", "tokens", order)
-    flat = tok.select("doc_id", "line_no", "pos", "t", F.get("tokens", F.col("pos") - 1).alias("p1"), F.get("tokens", F.col("pos") - 2).alias("p2"))
     checkpoint_folder(lines.sparkSession)
-    every = flat.groupBy("p2", "p1", "t").agg(F.count(F.lit(1)).alias("c3")).checkpoint()  # line starts included
+    # A line's own trigrams are counted where the line is; what is shuffled is a row for each kind.
+    gram = F.transform("tokens", lambda t, i: F.struct(F.when(i >= 2, F.get("tokens", (i - 2).cast("int"))).alias("p2"), F.when(i >= 1, F.get("tokens", (i - 1).cast("int"))).alias("p1"), t.alias("t")))
+    flat = lines.select("doc_id", "line_no", F.explode(gram).alias("g")).groupBy("doc_id", "line_no", "g").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "line_no", "g.*", "n")
+    every = flat.groupBy("p2", "p1", "t").agg(F.sum("n").alias("c3")).checkpoint()  # line starts included
     whole = every.groupBy("t").agg(F.sum("c3").alias("c1")).agg(F.sum("c1").alias("total"), F.count(F.lit(1)).alias("v"))
-    three, c3 = flat.where("p2 is not null"), every.where("p2 is not null")
-    c2 = c3.groupBy("p2", "p1").agg(F.sum("c3").alias("c2"))
-    j = three.join(c3, ["p2", "p1", "t"]).join(c2, ["p2", "p1"]).crossJoin(F.broadcast(whole))
-    bits = j.groupBy("doc_id", "line_no").agg(F.avg(-F.log2((F.col("c3") + k) / (F.col("c2") + k * F.col("v")))).alias("bits"), F.max("total").alias("total"))
+    c3 = every.where("p2 is not null")
+    priced = c3.join(c3.groupBy("p2", "p1").agg(F.sum("c3").alias("c2")), ["p2", "p1"]).crossJoin(F.broadcast(whole))  # one row
+    priced = priced.select("p2", "p1", "t", (-F.log2((F.col("c3") + k) / (F.col("c2") + k * F.col("v")))).alias("price"), "total")
+    # A common trigram is on very many lines: it is there once for each share, and lines pick one.
+    dealt = priced.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    three = flat.where("p2 is not null").withColumn("share", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SHARES)).cast("int"))
+    j = three.join(dealt, ["p2", "p1", "t", "share"])
+    bits = j.groupBy("doc_id", "line_no").agg((F.sum(F.col("price") * F.col("n")) / F.sum("n")).alias("bits"), F.max("total").alias("total"))
     return lines.select("doc_id", "line_no").join(bits, ["doc_id", "line_no"], "left").select("doc_id", "line_no", F.when(F.col("total") >= least_tokens, F.col("bits")).otherwise(0.0).alias("bits"))
