@@ -283,6 +283,41 @@ def test_substring_dedup_of_ids_with_several_texts(spark):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == removed_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_substring_dedup_of_long_passages(spark, seed):
+    """Rows cut from a few long passages, so that long symbols settle much, among rows of their own."""
+    rng = random.Random(seed)
+    text = lambda n: [f"p{rng.randrange(3000)}" for _ in range(n)]
+    passages, rows = [text(rng.randrange(60, 300)) for _ in range(10)], []
+    for i in range(70):
+        w = []
+        for _ in range(rng.randrange(4)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p) - 20)
+            w += text(rng.randrange(8)) + p[a : a + rng.randrange(5, len(p))]
+        rows.append((rng.choice([i, i, i, None, i // 2]), " ".join(w), "en", 7, "x"))
+    got = substring_dedup.digests(spark.createDataFrame(rows, DOCS))
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == removed_by_brute_force(rows)
+
+
+def test_long_symbols_settle_most_of_a_long_passage():
+    rng = np.random.default_rng(3)
+    u = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    passage = u(600)
+    docs = [np.concatenate((u(int(rng.integers(0, 50))), passage, u(30))) for _ in range(2)]
+    first = np.cumsum([0, *map(len, docs)])
+    symbols = substring_dedup.long_symbols(np.concatenate(docs), textops.mix(np.concatenate(docs)), first, 13)
+    keys, check = symbols[0], symbols[1]
+    mine = symbols[4] == 0
+    order = np.lexsort((check[mine], keys[mine]))
+    long = keys[mine][order], check[mine][order], np.zeros(mine.sum(), np.int64)
+    done = substring_dedup.settled(symbols, np.array([0, 9]), long, 13, first[-1])
+    assert not done[: first[1]].any() and 0.3 * 600 < done[first[1] :].sum() <= 600 - 12
+    # The same of the second document alone: nothing depends on where it lies in a piece.
+    alone = substring_dedup.long_symbols(docs[1], textops.mix(docs[1]), np.array([0, len(docs[1])]), 13)
+    assert (substring_dedup.settled(alone, np.array([9]), long, 13, len(docs[1])) == done[first[1] :]).all()
+
+
 def test_equal_keys_are_told_apart_by_check_bits():
     u = lambda *x: np.array(x, np.uint64)
     w = lambda *x: np.array(x, np.uint32)
