@@ -107,12 +107,13 @@ def _ranges(keys, counts, part, buckets, block):
     """Entries of a block, given by rising key, in one row for each bucket."""
     order = np.argsort(part.astype(np.uint16) if buckets <= 1 << 16 else part, kind="stable")
     keys, counts, part = keys[order], counts[order], part[order]
-    cuts = np.searchsorted(part, np.arange(buckets + 1))
-    rows = [p for p in range(buckets) if cuts[p] < cuts[p + 1]]
+    # Only ranges that have keys: a block never sends more rows than keys, however many ranges there are.
+    rows, first = np.unique(part, return_index=True)
+    cuts = [*zip(first.tolist(), [*first[1:].tolist(), len(part)])]
     return pa.RecordBatch.from_arrays([
         pa.array(rows, pa.int32()), pa.array([block] * len(rows), pa.int64()),
-        pa.array([B.squeeze(keys[cuts[p] : cuts[p + 1]], True) for p in rows], pa.binary()),
-        pa.array([B.squeeze(counts[cuts[p] : cuts[p + 1]].astype(np.uint32)) for p in rows], pa.binary()),
+        pa.array([B.squeeze(keys[a:z], True) for a, z in cuts], pa.binary()),
+        pa.array([B.squeeze(counts[a:z].astype(np.uint32)) for a, z in cuts], pa.binary()),
     ], names=["bucket", "block", "keys", "counts"])
 
 
@@ -394,10 +395,11 @@ def train(blocks: DataFrame, buckets: int, depth: int = DEPTH, least: int = LEAS
             own.find()
             sent = own.owned(own.answers(level, 1, np.int64))
             asks = own.names[own.asked]
-            cuts, asked_cuts = (np.searchsorted(part(x), np.arange(buckets + 1)) for x in (sent[0], asks))
             # A context that is sent is one that is asked for.
-            ranges = np.flatnonzero(asked_cuts[1:] > asked_cuts[:-1]).tolist()
-            bodies = [[B.squeeze(x[c[r] : c[r + 1]], x.dtype == U64) for r in ranges] for x, c in ((asks, asked_cuts), *((x, cuts) for x in sent))]
+            ranges = np.unique(part(asks))
+            asked_cuts, cuts = ([*zip(*(np.searchsorted(part(x), ranges, side).tolist() for side in ("left", "right")))] for x in (asks, sent[0]))
+            ranges = ranges.tolist()
+            bodies = [[B.squeeze(x[a:z], x.dtype == U64) for a, z in c] for x, c in ((asks, asked_cuts), *((x, cuts) for x in sent))]
             return B.batch(["bucket", "block", "asks", "contexts", "totals", "sizes", "parents"], [ranges, [rows["block"][0].as_py()] * len(ranges), *bodies], [pa.int32(), pa.int64(), *[pa.binary()] * 5])
 
         def decide(rows: pa.Table) -> pa.Table:
