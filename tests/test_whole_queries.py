@@ -1,4 +1,4 @@
-"""Queries over whole tables against other ways of counting; the SQL beside some of them still has narrower limits."""
+"""Queries over whole tables against other ways of counting than their SQL."""
 
 from collections import Counter
 
