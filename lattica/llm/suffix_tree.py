@@ -108,8 +108,8 @@ def _ranges(keys, counts, part, buckets, block):
     order = np.argsort(part.astype(np.uint16) if buckets <= 1 << 16 else part, kind="stable")
     keys, counts, part = keys[order], counts[order], part[order]
     # Only ranges that have keys: a block never sends more rows than keys, however many ranges there are.
-    rows, first = np.unique(part, return_index=True)
-    cuts = [*zip(first.tolist(), [*first[1:].tolist(), len(part)])]
+    first = np.flatnonzero(np.concatenate((part[:1] == part[:1], part[1:] != part[:-1])))
+    rows, cuts = part[first], [*zip(first.tolist(), [*first[1:].tolist(), len(part)])]
     return pa.RecordBatch.from_arrays([
         pa.array(rows, pa.int32()), pa.array([block] * len(rows), pa.int64()),
         pa.array([B.squeeze(keys[a:z], True) for a, z in cuts], pa.binary()),
@@ -396,8 +396,9 @@ def train(blocks: DataFrame, buckets: int, depth: int = DEPTH, least: int = LEAS
             sent = own.owned(own.answers(level, 1, np.int64))
             asks = own.names[own.asked]
             # A context that is sent is one that is asked for.
-            ranges = np.unique(part(asks))
-            asked_cuts, cuts = ([*zip(*(np.searchsorted(part(x), ranges, side).tolist() for side in ("left", "right")))] for x in (asks, sent[0]))
+            of_asks, of_sent = part(asks), part(sent[0])
+            ranges = of_asks[np.flatnonzero(np.concatenate((of_asks[:1] == of_asks[:1], of_asks[1:] != of_asks[:-1])))]
+            asked_cuts, cuts = ([*zip(*(np.searchsorted(x, ranges, side).tolist() for side in ("left", "right")))] for x in (of_asks, of_sent))
             ranges = ranges.tolist()
             bodies = [[B.squeeze(x[a:z], x.dtype == U64) for a, z in c] for x, c in ((asks, asked_cuts), *((x, cuts) for x in sent))]
             return B.batch(["bucket", "block", "asks", "contexts", "totals", "sizes", "parents"], [ranges, [rows["block"][0].as_py()] * len(ranges), *bodies], [pa.int32(), pa.int64(), *[pa.binary()] * 5])
