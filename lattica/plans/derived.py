@@ -52,10 +52,10 @@ def weak_labels(spark, sf_dir):
     return H.weak_labels(P.findings(spark, sf_dir), c)
 
 
-@query("""WITH k AS (SELECT concat('t', p_partkey) AS name, p_retailprice::DOUBLE AS value, CASE WHEN p_partkey % 60 = 7 THEN 0.0 ELSE (p_size * 20)::DOUBLE END AS standard FROM part),
+@query("""WITH k AS (SELECT concat('t', p_partkey) AS name, p_retailprice::DOUBLE AS value, CASE WHEN p_partkey % 6000 = 7 THEN 0.0 ELSE (p_size * 20)::DOUBLE END AS standard FROM part),
 r AS (SELECT name, CASE WHEN standard > 0 THEN abs(value - standard) / standard WHEN value > 0 THEN 'inf'::DOUBLE ELSE 0 END AS ratio FROM k ORDER BY ratio DESC, name LIMIT 10) SELECT name, round(ratio, 6) AS ratio FROM r WHERE ratio > 0 AND ratio < 'inf'::DOUBLE""")
 def calibration_outliers(spark, sf_dir):
-    k = P.table(spark, sf_dir, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_retailprice").cast("double").alias("value"), F.when(F.col("p_partkey") % 60 == 7, 0.0).otherwise((F.col("p_size") * 20).cast("double")).alias("standard"))
+    k = P.table(spark, sf_dir, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_retailprice").cast("double").alias("value"), F.when(F.col("p_partkey") % 6000 == 7, 0.0).otherwise((F.col("p_size") * 20).cast("double")).alias("standard"))
     return rounded(H.calibration_outliers(k), "ratio")
 
 
