@@ -115,10 +115,7 @@ dom AS (SELECT c.id AS d, l.id AS v FROM live c, live l WHERE c.id <> l.id EXCEP
 
 
 def _idom(spark, sf_dir):
-    edges = K.edge_list(P.sparse_calls(spark, sf_dir))
-    ends = {b for _, b in edges}
-    roots = [a for a, _ in edges if a not in ends] + ([min(a for a, _ in edges)] if edges else [])
-    return spark.createDataFrame(sorted(K.dominators(edges, roots).items()), "id long, idom long")
+    return K.dominator_tree(P.sparse_calls(spark, sf_dir)).checkpoint()  # used twice
 
 
 @query(f"WITH RECURSIVE {P.SPARSE}, {DOMINATED} SELECT id, coalesce(depth, 0) AS depth, coalesce(dominated, 0) AS dominated FROM live LEFT JOIN (SELECT v AS id, count(*) AS depth FROM dom GROUP BY v) USING (id) LEFT JOIN (SELECT d AS id, count(*) AS dominated FROM dom GROUP BY d) USING (id)")

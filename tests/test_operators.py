@@ -181,3 +181,44 @@ def test_apply_changes(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         C.apply_changes(C.read(spark, source, schema), spark, state, "path", lambda df, epoch: seen.append(sorted(tuple(r) for r in df.collect())))
     assert seen == [[("a", "added"), ("b", "added")], [("a", "changed")], [("b", "removed")]]
+
+
+def test_kernels_take_more_edges_than_the_driver_did(spark):
+    """A million and some edges: a chain, whose inner nodes are all cuts, dominators and of one line."""
+    n = 1_000_100
+    e = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert K.articulation_points(e).count() == n - 1
+    assert K.bridges(e).where("b = a + 1").count() == n
+    assert K.dominator_tree(e).where("idom = id - 1").count() == n + 1
+    assert K.dominated_counts(e).where(F.col("n") == n - F.col("id")).count() == n
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_betweenness_of_several_components(spark, weighted):
+    """Against paths listed one by one; sources outside the graph add nothing."""
+    import itertools
+
+    edges = [(0, 1, 1.0), (0, 2, 2.0), (1, 3, 1.0), (2, 3, 2.0), (3, 4, 1.0), (4, 0, 4.0), (10, 11, 1.0), (11, 12, 2.0), (10, 13, 1.0), (13, 12, 2.0)]
+    after = {}
+    for a, b, w in edges:
+        after.setdefault(a, []).append((b, 1 / w if weighted else 1.0))
+
+    def simple(path, length, end):
+        if path[-1] == end:
+            yield path, length
+            return
+        for b, w in after.get(path[-1], ()):
+            if b not in path:
+                yield from simple([*path, b], length + w, end)
+
+    want = {}
+    for s, t in itertools.permutations([0, 1, 2, 3, 4, 10, 11, 12, 13], 2):
+        found = list(simple([s], 0.0, t))
+        best = [p for p, d in found if abs(d - min(x for _, x in found)) < 1e-9]
+        for p in best:
+            for v in p[1:-1]:
+                want[v] = want.get(v, 0.0) + 1 / len(best)
+    e = spark.createDataFrame(edges, "src long, dst long, w double")
+    s = spark.createDataFrame([(i,) for i in range(20)], "id long")
+    got = (K.weighted_betweenness(e, s, 20) if weighted else K.betweenness(e.drop("w"), s)).collect()
+    assert {r["id"]: round(r["betweenness"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
