@@ -129,3 +129,15 @@ def test_taint_paths_of_ten_calls(spark):
         follow([r["id"]], False)
     assert max(h for *_, h, _ in want) > 6
     assert Counter(tuple(r) for r in run(spark, "taint_paths").collect()) == Counter(want)
+
+
+@pytest.mark.parametrize("name", ["betweenness_sampled", "weighted_betweenness"])
+def test_betweenness_takes_all_nodes_as_sources(spark, name):
+    from lattica.operators import kernels as K
+
+    n, e = P.nodes(spark, SF), P.sparse_calls(spark, SF)
+    if name == "weighted_betweenness":
+        e = e.selectExpr("src", "dst", "1.0D w").join(n.selectExpr("id AS dst", "1.0D + complexity % 5 AS v"), "dst").selectExpr("src", "dst", "v AS w")
+    parts = K._dealt_betweenness(e, n.select("id"), name == "weighted_betweenness", K.MOST_EDGES)
+    want = {r[0]: round(r[1], 4) for r in parts.groupBy("id").sum("part").collect()}
+    assert want and {r["id"]: round(r["betweenness"], 4) for r in run(spark, name).collect()} == want
