@@ -546,8 +546,11 @@ def surprisal(ctx):
     t = F.regexp_extract_all(F.lower("code"), F.lit(r"[a-z_]\w*|\d+|[^\s\w]"), F.lit(0))
     d = ctx.lines.select(F.xxhash64("path").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), t.alias("tokens"))
     bits = stats.trigram_surprisal(d).where("bits > 0")
-    spans = ctx.functions.select(F.xxhash64("path").alias("doc_id"), "path", "name", "line_start", "line_end", F.explode(F.sequence(F.col("line_start").cast("long"), F.col("line_end").cast("long"))).alias("line_no"))
-    g = spans.join(bits, ["doc_id", "line_no"]).groupBy("path", "name", "line_start", "line_end").agg(F.avg("bits").alias("bits"))
+    named = ctx.functions.select("path", "name", "line_start", "line_end").distinct()
+    # Each span once, whatever the number of its functions; merged, as repeats compress well below their size in memory.
+    spans = named.select("path", "line_start", "line_end").distinct().select(F.xxhash64("path").alias("doc_id"), "*", F.explode(F.sequence(F.col("line_start").cast("long"), F.col("line_end").cast("long"))).alias("line_no"))
+    mean = spans.hint("merge").join(bits.hint("merge"), ["doc_id", "line_no"]).groupBy("path", "line_start", "line_end").agg(F.avg("bits").alias("bits"))
+    g = named.hint("merge").join(mean.hint("merge"), ["path", "line_start", "line_end"])
     z = stats.z_scores(g, "bits").where("z >= 2")
     return row(z, "surprisal", F.when(F.col("z") >= 3.5, 2).when(F.col("z") >= 2.5, 1).otherwise(0), F.concat(F.lit("Unusual code: "), F.col("name")))
 

@@ -10,6 +10,8 @@ from .graph import checkpoint_folder
 LEAST_VALUES = 40
 #: Shares that the lines of one trigram are dealt into.
 SHARES = 8
+#: Trigrams whose prices (a key and two numbers, about 100 bytes as a hash table) are broadcast.
+MOST_PRICED = 500_000
 
 
 #: Distinct values that one task orders.
@@ -100,23 +102,31 @@ def precision_weights(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("signal"), (F.col(c) / total).alias("weight")) for c in columns))).alias("x")).select("x.*")
 
 
-def trigram_surprisal(lines: DataFrame, k: float = 0.1, least_tokens: int = 5000) -> DataFrame:
+def trigram_surprisal(lines: DataFrame, k: float = 0.1, least_tokens: int = 5000, most_priced: int = MOST_PRICED) -> DataFrame:
     """doc_id, line_no, bits: mean bits a token of each line under an add-k trigram model learnt
     from all lines (unseen contexts use the unigram); 0 where the model or the line is too short.
 
-    lines: doc_id, line_no, tokens. Counts are aggregated map-side; lines meet them by key."""
+    lines: doc_id, line_no, tokens. Counts are aggregated map-side; prices of up to `most_priced` trigrams
+    are broadcast by key, more of them meet the lines by shuffles."""
     checkpoint_folder(lines.sparkSession)
-    # A line's own trigrams are counted where the line is; what is shuffled is a row for each kind.
     gram = F.transform("tokens", lambda t, i: F.struct(F.when(i >= 2, F.get("tokens", (i - 2).cast("int"))).alias("p2"), F.when(i >= 1, F.get("tokens", (i - 1).cast("int"))).alias("p1"), t.alias("t")))
-    flat = lines.select("doc_id", "line_no", F.explode(gram).alias("g")).groupBy("doc_id", "line_no", "g").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "line_no", "g.*", "n")
-    every = flat.groupBy("p2", "p1", "t").agg(F.sum("n").alias("c3")).checkpoint()  # line starts included
+    every = lines.select(F.explode(gram).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c3")).select("g.*", "c3").checkpoint()  # line starts included
     whole = every.groupBy("t").agg(F.sum("c3").alias("c1")).agg(F.sum("c1").alias("total"), F.count(F.lit(1)).alias("v"))
     c3 = every.where("p2 is not null")
-    priced = c3.join(c3.groupBy("p2", "p1").agg(F.sum("c3").alias("c2")), ["p2", "p1"]).crossJoin(F.broadcast(whole))  # one row
-    priced = priced.select("p2", "p1", "t", (-F.log2((F.col("c3") + k) / (F.col("c2") + k * F.col("v")))).alias("price"), "total")
-    # A common trigram is on very many lines: it is there once for each share, and lines pick one.
-    dealt = priced.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    three = flat.where("p2 is not null").withColumn("share", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SHARES)).cast("int"))
-    j = three.join(dealt, ["p2", "p1", "t", "share"])
+    priced = c3.join(c3.groupBy("p2", "p1").agg(F.sum("c3").alias("c2")).hint("merge"), ["p2", "p1"]).crossJoin(F.broadcast(whole))  # one row
+    price = (-F.log2((F.col("c3") + k) / (F.col("c2") + k * F.col("v")))).alias("price")
+    key = F.xxhash64("p2", "p1", "t").alias("key")
+    keyed = priced.select(key, "p2", "p1", "t", price, "total").checkpoint()
+    kinds = keyed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys")).first()
+    flat = lines.select("doc_id", "line_no", F.explode(gram).alias("g")).select("doc_id", "line_no", "g.*").where("p2 is not null")
+    if kinds["n"] <= most_priced and kinds["n"] == kinds["keys"]:
+        # Keys of 64 bits that no two trigrams share: the prices go to the lines, and a line's sum is made where it is.
+        j = flat.select("doc_id", "line_no", key).join(F.broadcast(keyed.select("key", "price", "total")), "key").withColumn("n", F.lit(1))
+    else:
+        # A common trigram is on very many lines: it is there once for each share, and lines pick one.
+        dealt = keyed.drop("key").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        # A line's own trigrams are counted where the line is; what is shuffled is a row for each kind.
+        three = flat.groupBy("doc_id", "line_no", "p2", "p1", "t").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SHARES)).cast("int"))
+        j = three.join(dealt.hint("merge"), ["p2", "p1", "t", "share"])
     bits = j.groupBy("doc_id", "line_no").agg((F.sum(F.col("price") * F.col("n")) / F.sum("n")).alias("bits"), F.max("total").alias("total"))
-    return lines.select("doc_id", "line_no").join(bits, ["doc_id", "line_no"], "left").select("doc_id", "line_no", F.when(F.col("total") >= least_tokens, F.col("bits")).otherwise(0.0).alias("bits"))
+    return lines.select("doc_id", "line_no").join(bits.hint("merge"), ["doc_id", "line_no"], "left").select("doc_id", "line_no", F.when(F.col("total") >= least_tokens, F.col("bits")).otherwise(0.0).alias("bits"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,6 +48,13 @@ def relevant(files: DataFrame, category: str) -> DataFrame:
     return files.where(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1).isin(*c.extensions) & words)
 
 
+def relevant_kinds(files: DataFrame) -> DataFrame:
+    """path, kinds: the categories that a file is relevant to, of files with any."""
+    extension, word = F.regexp_extract("path", r"\.([A-Za-z]+)$", 1), lambda w: F.col("content").contains(w)
+    said = [F.when(extension.isin(*c.extensions) & reduce(lambda a, b: a | b, map(word, c.quick)), F.lit(name)) for name, c in CATEGORIES.items()]
+    return files.select("path", F.array_compact(F.array(*said)).alias("kinds")).where("size(kinds) > 0")
+
+
 def flow(lines: list[str], category: str) -> list[tuple]:
     """(variable, source, source line, sink, sink line, sanitized) of one function's lines."""
     c = CATEGORIES[category]
@@ -99,8 +107,19 @@ def intra(bodies: DataFrame, categories: list[str] | None = None) -> DataFrame:
 def central(files: DataFrame, bodies: DataFrame) -> DataFrame:
     """All categories, each over the functions of the files that are relevant to it. files: path,
     content; bodies: path, function, line_no, text."""
-    out = None
-    for c in CATEGORIES:
-        found = intra(bodies.join(relevant(files, c).select("path").distinct(), "path", "left_semi"), [c])
-        out = found if out is None else out.union(found)
-    return out
+    kinds = relevant_kinds(files).groupBy("path").agg(F.flatten(F.collect_set("kinds")).alias("kinds"))
+    told = bodies.join(kinds, "path").groupBy("function").agg(F.sort_array(F.collect_list(F.struct("line_no", F.coalesce("text", F.lit("")).alias("text"), "kinds"))).alias("body"))
+    # Nothing is tainted without a source.
+    low = F.lower(F.array_join("body.text", "\n"))
+    told = told.where(reduce(lambda a, b: a | b, (low.contains(s) for s in SOURCES)))
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for name, body in zip(frame["function"], frame["body"]):
+                for c in CATEGORIES:
+                    lines = [x["text"] for x in body if c in x["kinds"]]
+                    rows += [(name, c, CATEGORIES[c].cwe, *hit) for hit in flow(lines, c)]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+
+    return told.mapInPandas(run, SCHEMA)
