@@ -222,3 +222,86 @@ def test_betweenness_of_several_components(spark, weighted):
     s = spark.createDataFrame([(i,) for i in range(20)], "id long")
     got = (K.weighted_betweenness(e, s, 20) if weighted else K.betweenness(e.drop("w"), s)).collect()
     assert {r["id"]: round(r["betweenness"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_searches_in_one_task_are_those_in_rounds(spark):
+    import random
+
+    draw = random.Random(5)
+    e = spark.createDataFrame(sorted({(draw.randrange(60), draw.randrange(60)) for _ in range(90)}), "src long, dst long")
+    s = spark.createDataFrame([(3,), (7,), (99,)], "id long")
+    for most in (None, 2):
+        got = [sorted(tuple(r) for r in G.breadth_first(e, s, most, one_task=n).collect()) for n in (0, 1000)]
+        assert got[0] == got[1] and (99, 0) in got[0]
+    got = [sorted(tuple(r) for r in G.strong_components(e, one_task=n).collect()) for n in (0, 1000)]
+    assert got[0] == got[1] and got[0]
+
+
+def test_overlaps_in_shares(spark):
+    from lattica.operators import joins as J
+
+    spans = spark.range(300).selectExpr("'g' AS k", "id", "id % 90 AS start", "id % 90 + id % 80 AS end")
+    got = [sorted(tuple(r) for r in J.overlapping(spans, spans, "k", per_task=n).collect()) for n in (10**9, 500)]
+    assert got[0] == got[1] and len(got[0]) == len(set(got[0])) > 1000
+
+
+def test_trigram_prices_by_key_are_those_by_shuffle(spark):
+    from lattica.operators import stats as T
+
+    lines = spark.range(400).selectExpr("id % 40 AS doc_id", "id AS line_no", "transform(sequence(0L, id % 9), i -> cast((id * 7 + i * i) % 13 AS string)) AS tokens")
+    got = [{(r[0], r[1]): round(r[2], 9) for r in T.trigram_surprisal(lines, 0.1, 10, most_priced=n).where("bits is not null").collect()} for n in (0, 10**6)]
+    assert got[0] == got[1] and len(got[0]) > 200
+
+
+def test_many_findings_at_few_places(spark):
+    """40,000 findings and 40,000 functions at one place are no 1.6 billion pairs."""
+    from lattica.operators import roles
+
+    found = spark.range(40_000).selectExpr("id", "'DeadCodeDetector' AS detector", "'f' AS file", "5 AS line")
+    functions = spark.range(40_000).selectExpr("id", "'f' AS path", "1 AS line_start", "9 AS line_end")
+    last = functions.selectExpr("id", "CASE WHEN id = 39999 THEN 'Test' ELSE 'Core' END AS context")
+    assert roles.without_excused(found, functions, last).count() == 0
+
+
+def test_taint_of_all_categories_is_one_pass(spark):
+    from lattica.operators import taint
+
+    files = spark.createDataFrame([("a.py", 'x = request.args\nos.system(x)\ncursor.execute(x)'), ("b.yml", "x = request.args\nos.system(x)")], "path string, content string")
+    bodies = files.selectExpr("path", "concat(path, '::f') AS function", "posexplode(split(content, '\\n')) AS (line_no, text)")
+    found = taint.central(files, bodies)
+    assert sorted((r["function"], r["category"], r["sink_line"]) for r in found.collect()) == [("a.py::f", "command", 2), ("a.py::f", "sql", 3)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInPandas") <= 2
+
+
+def test_shuffles_follow_the_files(spark, tmp_path):
+    from lattica import folders
+
+    df = spark.range(20_000).selectExpr("id", "sha2(cast(id AS string), 256) AS x")
+    df.write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t")).groupBy("id").count()
+    assert folders.tasks(read) == 4 and folders.tasks(read, 0.1) > 4
+    assert folders.tasks(df.checkpoint()) == 4
+
+
+def test_nearest_of_many_equal_vectors(spark):
+    """Ties go to the smaller ids, and a block's scores are held for a few queries at once."""
+    from lattica.operators import similarity as S
+
+    v = spark.range(3_000).selectExpr("id AS vec_id", "array(1.0D, cast(id % 2 AS double)) AS embedding")
+    got = sorted(tuple(r)[:3] for r in S.nearest_exact(v.where("vec_id = 100"), v, 3, block=500).collect())
+    assert got == [(100, 1, 0), (100, 2, 2), (100, 3, 4)] and S.SLICE <= 100
+
+
+def test_rank_drift_runs_all_rounds(spark, monkeypatch):
+    """Its SQL has twenty rounds; ranks that stop early are ordered otherwise in large graphs."""
+    from types import SimpleNamespace
+
+    from lattica.operators import detectors as D
+
+    f = spark.createDataFrame([("a", 1), ("b", 2)], "qualified_name string, complexity int").withColumn("id", F.lit(0))
+    ctx = SimpleNamespace(functions=f, edges=spark.createDataFrame([("a", "b")], "src string, dst string"))
+    asked = []
+    monkeypatch.setattr(D.graph, "page_rank", lambda *a, **k: asked.append(k.get("tolerance", 1e-6)))
+    D._ranked(ctx, False)
+    D._ranked(ctx, True)
+    assert asked == [0.0, 0.0]
