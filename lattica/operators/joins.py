@@ -17,13 +17,24 @@ def innermost(points: DataFrame, spans: DataFrame, on: str, point: str, start: s
     return points.join(best, [on, point], "left").select(on, point, (-F.col("m.neg")).alias("span_id"), F.col("m.s").alias("span_start"))
 
 
-def overlapping(left: DataFrame, right: DataFrame, on: str, width: int = 64) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, on: str, width: int = 64, per_task: int = 5_000_000) -> DataFrame:
     """Pairs of spans (l_id, r_id) with start, end of the same key that overlap. A pair is made in
-    the bucket where the later of the two starts, hence once."""
+    the bucket where the later of the two starts, hence once. A task compares about `per_task` pairs."""
     def dealt(df, side):
         return df.select(on, F.col("id").alias(f"{side}_id"), F.col("start").alias(f"{side}_s"), F.col("end").alias(f"{side}_e"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_b"))
 
-    j = dealt(left, "l").join(dealt(right, "r"), [on, "_b"])
+    # Shares of the right side, to each of which the left side goes, so that no key is one task's.
+    a, b = dealt(left, "l"), dealt(right, "r")
+    one = a.groupBy(on, "_b").agg(F.count(F.lit(1)).alias("m")).join(b.groupBy(on, "_b").agg(F.count(F.lit(1)).alias("n")), [on, "_b"]).select((F.col("m") * F.col("n")).alias("k"))
+    most, total = one.agg(F.coalesce(F.max("k"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+    if (shares := most // per_task + 1) > 1:
+        a = a.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        b = b.withColumn("_s", F.pmod(F.xxhash64("r_id", "r_s"), F.lit(shares)).cast("int"))
+        keys, tasks = [on, "_b", "_s"], min(20_000, 2 * total // per_task + 1)
+        a, b = a.repartition(tasks, *keys).hint("shuffle_hash"), b.repartition(tasks, *keys)
+        j = b.join(a, keys)
+    else:
+        j = a.join(b, [on, "_b"])
     return j.where("l_s <= r_e and l_e >= r_s").where(F.floor(F.greatest("l_s", "r_s") / width) == F.col("_b")).select(on, "l_id", "r_id")
 
 
