@@ -25,7 +25,7 @@ def _spark(spark, sf_dir, key="part", most=30):
 
 @query(f"{_counted()} SELECT a, b, round(weight, 6) AS weight, n FROM pairs WHERE weight >= 0.3")
 def co_change(spark, sf_dir):
-    return rounded(T.pairs(_spark(spark, sf_dir), 0.3), "weight")
+    return rounded(T.pairs(_spark(spark, sf_dir), 0.3, many=True), "weight")
 
 
 @query(f"{_counted('brand')} SELECT a, b, round(p.weight, 6) AS weight, p.n, round(least(p.n / x.n, p.n / y.n), 6) AS confidence FROM pairs p JOIN totals x ON a = x.file JOIN totals y ON b = y.file WHERE p.weight >= 0.5")
@@ -43,7 +43,7 @@ def co_change_lift(spark, sf_dir):
 
 @query(f"{_counted()} SELECT file, count(*) AS degree FROM (SELECT a AS file FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY file")
 def coupling_degree(spark, sf_dir):
-    return T.coupling_degree(_spark(spark, sf_dir))
+    return T.coupling_degree(_spark(spark, sf_dir), many=True)
 
 
 @query(f"""{_counted('brand')}, conf AS (SELECT a, b, p.weight, p.n, least(p.n / x.n, p.n / y.n) AS confidence FROM pairs p JOIN totals x ON a = x.file JOIN totals y ON b = y.file WHERE p.weight >= 0.5),
@@ -121,6 +121,6 @@ def fix_velocity(spark, sf_dir):
 @query(f"""{_counted()}, {P.CALLS}, k AS (SELECT src, dst, 1.0 + least(coalesce(weight, 0), 2.0) AS w FROM calls LEFT JOIN (SELECT a, b, weight FROM pairs WHERE weight >= 0.3 UNION ALL SELECT b, a, weight FROM pairs WHERE weight >= 0.3) ON a = src::VARCHAR AND b = dst::VARCHAR)
 SELECT src, round(sum(w), 6) AS strength, count(*) AS degree FROM k GROUP BY src""")
 def weighted_overlay(spark, sf_dir):
-    p = T.pairs(_spark(spark, sf_dir), 0.3).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "weight")
+    p = T.pairs(_spark(spark, sf_dir), 0.3, many=True).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "weight")
     w = G.overlay(P.calls(spark, sf_dir), p)
     return rounded(w.groupBy("src").agg(F.sum("w").alias("strength"), F.count(F.lit(1)).alias("degree")), "strength")
