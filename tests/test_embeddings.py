@@ -3,9 +3,13 @@
 import numpy as np
 import pytest
 
+from lattica import plans
 from lattica.operators import embeddings as E
 from lattica.operators import graph as G
 from lattica.operators import kernels as K
+from lattica.sources import projection as P
+
+from .conftest import SF
 
 
 def cliques(n=12):
@@ -76,6 +80,25 @@ def vectors(df):
     return {r["id"]: np.array(r["embedding"]) for r in df.collect()}
 
 
+def test_the_query_trains_on_every_pair_of_every_walk(spark):
+    """Ten walks of twenty nodes from each node, 128 numbers, five epochs, as one computation does it."""
+    got = vectors(plans.queries()["node2vec"](spark, SF))
+    src, dst = np.array([(r["src"], r["dst"]) for r in P.sparse_calls(spark, SF).collect()]).T
+    ids, start, near = K._undirected(src, dst)
+    places = np.arange(len(ids), dtype=np.int32)
+    walks = E.walk_arrays(start, near, places, 20, 10, 1)
+    c, x = E.window_pairs(walks, E.walk_keys(places, 10, 1), 5)
+    key, n = np.unique(c.astype(np.int64) * len(ids) + x, return_counts=True)
+    noise = np.bincount(walks.reshape(-1)).astype(np.float32) ** 0.75
+    w = (2 * np.random.default_rng((1, 0)).random((len(ids), 128), np.float32) - 1) * np.float32(np.sqrt(6 / 256))
+    v = np.zeros_like(w)
+    rate = lambda k: 0.025 - (0.025 - 0.0001) * k / 5
+    for k in range(5):
+        E.train_block(w, v, noise, (key // len(ids)).astype(np.int32), (key % len(ids)).astype(np.int32), n.astype(np.float32), (rate(k), rate(k + 1)), 5, np.random.default_rng((1, k, 0)))
+    assert sorted(got) == ids.tolist()
+    assert np.allclose(np.array([got[i] for i in ids]), w, atol=1e-3)
+
+
 @pytest.mark.parametrize("buckets", [1, 3])
 def test_buckets_lose_no_node_and_tell_cliques_apart(spark, buckets):
     edges = spark.createDataFrame(cliques() + [(7, 7)], "src long, dst long")
